@@ -201,7 +201,7 @@ def train(table: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mode
         for b in batches:
             x = np.asarray(col(b, "x").flatten()).reshape(-1, len(MEASURES))
             cell = np.clip((_sigmoid(first.score(x)) * cells).astype(int), 0, cells - 1)
-            cell += cells * np.asarray(col(b, "group").cast(pa.int8()))
+            cell += cells * np.asarray(col(b, "group").cast(pa.int64()))
             n = np.bincount(cell, minlength=2 * cells)
             yield pa.record_batch([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["cell", "n"])
 
