@@ -2,7 +2,8 @@
 
 Trusted positives are the documents labelled quality 1; unlabelled are those without a label. A first
 logistic model tells the two apart; its scores over every positive and every unlabelled document give the
-class prior (least ratio of tails). The classifier then minimises the non-negative unbiased risk
+class prior (least ratio of tails); each half of the documents, by hash, is scored by the model of the other
+half, so that fitting to the sample doesn't lower it. The classifier then minimises the non-negative unbiased risk
     prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])
 with the sigmoid loss, over one-hot bins of a few dense measures of the text. A document is kept if g >= 0.
 
@@ -130,7 +131,7 @@ def _padded(weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_first(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 300) -> Model:
+def fit_first(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 150) -> Model:
     """Logistic model of labelled against unlabelled, each half of the weight; its scores serve the prior."""
     x = np.concatenate([positive, unlabelled])
     model = Model(_spread(x), np.zeros(len(MEASURES) * BINS), 0.0, 1.0)
@@ -189,27 +190,35 @@ def _matrix(rows: pa.Table) -> np.ndarray:
 def train(table: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     """The model from a measured() table and labels (doc_id, label). None without positives or unlabelled."""
     rows = table.filter("doc_id is not null").join(checked(labels), "doc_id", "left").filter("label is null or label = 1")
-    rows = rows.withColumn("group", F.col("label").isNotNull())
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    sample = lambda g: _matrix(rows.filter(F.col("group") == g).orderBy(*order).limit(fit_rows).select("x").toArrow())
-    positive, unlabelled = sample(True), sample(False)
-    if not len(positive) or not len(unlabelled):
-        return None
-    first, cells = fit_first(positive, unlabelled), 400
+    rows = rows.select("x", F.xxhash64("doc_id").alias("order"), "doc_id", F.col("label").isNotNull().cast("int").alias("group"))
+    rows = rows.withColumn("fold", F.abs(F.col("order") % 2).cast("int"))
 
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.asarray(col(b, "x").flatten()).reshape(-1, len(MEASURES))
-            cell = np.clip((_sigmoid(first.score(x)) * cells).astype(int), 0, cells - 1)
-            cell += cells * np.asarray(col(b, "group").cast(pa.int64()))
-            n = np.bincount(cell, minlength=2 * cells)
-            yield pa.record_batch([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["cell", "n"])
-
-    counted = rows.select("x", "group").mapInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    n = np.zeros(2 * cells)
-    for cell, k in counted.collect():
-        n[cell] = k
-    return fit_nnpu(positive, unlabelled, prior_of(n[cells:], n[:cells]))
+    def sample(group: int, fold: int) -> np.ndarray:
+        some = rows.filter((F.col("group") == group) & (F.col("fold") == fold))
+        return _matrix(some.orderBy("order", "doc_id").limit(fit_rows // 2).select("x").toArrow())
+
+    positive, unlabelled = ([sample(group, fold) for fold in (0, 1)] for group in (1, 0))
+    if not sum(map(len, positive)) or not sum(map(len, unlabelled)):
+        return None
+    if all(map(len, positive + unlabelled)):
+        first, cells = [fit_first(p, u) for p, u in zip(positive, unlabelled, strict=True)], 400
+
+        def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, fold = np.asarray(col(b, "x").flatten()).reshape(-1, len(MEASURES)), np.asarray(col(b, "fold"))
+                z = np.where(fold == 0, first[1].score(x), first[0].score(x))
+                cell = np.clip((_sigmoid(z) * cells).astype(int), 0, cells - 1) + cells * np.asarray(col(b, "group"))
+                n = np.bincount(cell, minlength=2 * cells)
+                yield pa.record_batch([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["cell", "n"])
+
+        counted = rows.select("x", "group", "fold").mapInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        n = np.zeros(2 * cells)
+        for cell, k in counted.collect():
+            n[cell] = k
+        prior = prior_of(n[cells:], n[:cells])
+    else:  # too few documents for two halves
+        prior = 0.5
+    return fit_nnpu(np.concatenate(positive), np.concatenate(unlabelled), prior)
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
