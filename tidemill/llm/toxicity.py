@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.space import checked
 from tidemill.llm.tokens import Words, col, distinct, hash_spans, mix64, slices, words_of
 
-FIT_ROWS = 10_000
+FIT_ROWS = 4_000
 BITS, RANK, STEMS, EPOCHS = 20, 8, (4, 6), 25
 #: A slot takes part if so many sampled documents have it, and its toxic share is so many standard errors from the rest's.
 LEAST_DOCS, LEAST_Z = 4, 4.0
