@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import quality, toxicity
+from tidemill.llm import quality, simhash, toxicity
 from tidemill.llm.space import labels_of, table
 
 
@@ -18,8 +18,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), labels_of(spark, sf_dir, "toxic"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
+    "op6_simhash": op6_simhash,
 }
 ORACLES: dict[str, str] = {}
