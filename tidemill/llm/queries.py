@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import quality, simhash, toxicity
+from tidemill.llm import packing, pfor, quality, simhash, toxicity
 from tidemill.llm.space import labels_of, table
 
 
@@ -22,9 +22,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_pfor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfor.encoded(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
+    "op9_packing": op9_packing,
+    "op10_pfor": op10_pfor,
 }
 ORACLES: dict[str, str] = {}
