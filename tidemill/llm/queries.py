@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import packing, pfor, quality, simhash, toxicity
+from tidemill.llm import lm, minhash, packing, pfor, quality, simhash, toxicity
 from tidemill.llm.space import labels_of, table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), labels_of(spark, sf_dir, "quality"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), labels_of(spark, sf_dir, "quality"))
 
@@ -22,6 +26,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -31,9 +39,11 @@ def op10_pfor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
+    "op7_minhash": op7_minhash,
     "op9_packing": op9_packing,
     "op10_pfor": op10_pfor,
 }

@@ -20,6 +20,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 1 << 20
 #: Bytes of text handled at once; larger single texts are handled alone.
 SLICE_BYTES = 1 << 21
+SLICE_ROWS = 1 << 15
 
 
 def _word_bytes() -> np.ndarray:
@@ -160,7 +161,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
     _, bounds = raw_text(batch.column(batch.schema.get_field_index(column)))
     i = 0
     while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + limit, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(bounds, bounds[i] + limit, "right")) - 1), i + SLICE_ROWS)
         yield batch.slice(i, j - i)
         i = j
 
