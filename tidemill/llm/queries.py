@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import lm, minhash, packing, pfor, quality, simhash, toxicity
+from tidemill.llm import decontam, lm, minhash, packing, pfor, quality, simhash, toxicity, url_filter
 from tidemill.llm.space import labels_of, table
 
 
@@ -14,6 +14,15 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), labels_of(spark, sf_dir, "quality"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.classify(pages, url_filter.labelled_pages(pages, labels_of(spark, sf_dir, "quality")))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), labels_of(spark, sf_dir, "quality"))
 
@@ -40,6 +49,8 @@ def op10_pfor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_url_filter": op2_url_filter,
+    "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
