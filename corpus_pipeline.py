@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import quality, toxicity
+from tidemill.llm import decontam, packing, quality, simhash, toxicity
 from tidemill.llm.space import labels_of, table, written
 
 
@@ -20,7 +20,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, machine).filter("not toxic").select(*docs.columns)
 
 
-STAGES = [("quality", keep_quality), ("toxicity", drop_toxic)]
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least doc_id, of each group of near duplicates."""
+    return simhash.deduplicated(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any phrase or close passage of a benchmark item."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes: doc_id, piece, n_tokens, bin_id and place."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("toxicity", drop_toxic),
+    ("near_duplicates", one_of_each),
+    ("decontamination", drop_leaks),
+    ("packing", packed),
+]
+#: Trained models, approximate candidates and greedy packing: no stage is SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import decontam, lm, minhash, packing, pfor, quality, simhash, toxicity, url_filter
+from tidemill.llm import decontam, html_diff, lm, minhash, packing, pfor, quality, simhash, toxicity, url_filter
 from tidemill.llm.space import labels_of, table
 
 
@@ -39,6 +39,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_diff.extracted(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op7_minhash": op7_minhash,
+    "op8_html": op8_html,
     "op9_packing": op9_packing,
     "op10_pfor": op10_pfor,
 }
