@@ -4,7 +4,7 @@ A document's fingerprint is BLOCKS * BITS signs of random projections of its dis
 the root of its count. Two fingerprints are candidates if some block of BITS bits differs in at most RADIUS
 places: every distinct block emits all values within half the radius of it, which are shuffled; two blocks
 within the radius share one. In each bucket every member is paired with the least one, so a bucket of n gives
-n - 1 pairs and not n * n; pairs are deduplicated and verified, by the whole fingerprint (at most FAR bits apart)
+n - 1 pairs and not n * n; pairs are deduplicated and verified, the nearest-numbered of each text first, by the whole fingerprint (at most FAR bits apart)
 and by the Jaccard similarity of the word pairs of the whole texts (at least SIMILAR). Then every pair within a
 bucket that the groups found so far still keep apart is verified as well: the groups are the connected
 components of all verified candidate pairs, no pair being left out.
@@ -94,39 +94,43 @@ def ball() -> list[int]:
 
 
 def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted distinct hashes of each text's word pairs, as bytes."""
+    """Sorted distinct 32-bit hashes of each text's word pairs, as bytes."""
     for batch in batches:
         for part in slices(batch):
-            h, cut = words_of(col(part, "text")).shingles(2)
+            w = words_of(col(part, "text"))
+            h, cut = w.shingles(2)
+            h = h.astype(np.uint32)
             sets = [np.unique(h[cut[d] : cut[d + 1]]).tobytes() for d in range(len(cut) - 1)]
-            yield pa.record_batch([col(part, "doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "pairs"])
+            yield pa.record_batch([col(part, "doc_id"), pa.array(text_hashes(w)), pa.array(sets, pa.binary())], names=["doc_id", "text_hash", "pairs"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
         for k, (p, q) in enumerate(zip(col(batch, "p"), col(batch, "q"), strict=True)):
-            x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
+            both = np.concatenate([np.frombuffer(p.as_buffer(), np.uint32), np.frombuffer(q.as_buffer(), np.uint32)])
+            both.sort()
             common = int((both[1:] == both[:-1]).sum())
             keep[k] = common >= SIMILAR * (len(both) - common)
         mask = pa.array(keep)
         yield pa.record_batch([col(batch, "a").filter(mask), col(batch, "b").filter(mask)], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Of candidate pairs a > b, written once, those that both tests pass."""
-    of = lambda side: texts.select(F.col("doc_id").alias(side), F.col("prints").alias(f"prints_{side}"))
+def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of candidate pairs those whose whole fingerprints are near, with both text hashes."""
+    of = lambda side: texts.select(*(F.col(c).alias(f"{n}{side}") for c, n in (("doc_id", ""), ("prints", "prints_"), ("text_hash", "hash_"))))
     near = pairs.join(of("a"), "a").join(of("b"), "b").filter(_distance(F.col("prints_a"), F.col("prints_b")) <= FAR)
-    near = written(near.select("a", "b"), f"{name}-near")
+    return near.select("a", "b", "hash_a", "hash_b")
+
+
+def _verified(near: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """Of written pairs those whose texts are similar, written. Sets move by a, then with a by b, and never in pairs."""
     wanted = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
     rows = docs.select("doc_id", F.lower("text").alias("text")).join(checked(wanted), "doc_id", "left_semi")
-    sets = rows.mapInArrow(_pairs_of, "doc_id long, pairs binary").groupBy("doc_id").agg(F.first("pairs").alias("pairs"))
-    sets = written(sets, f"{name}-sets")
-    p, q = (sets.select(F.col("doc_id").alias(side), F.col("pairs").alias(as_)) for side, as_ in (("a", "p"), ("b", "q")))
-    out = written(near.join(p, "a").join(q, "b").select("a", "b", "p", "q").mapInArrow(_similar, "a long, b long"), f"{name}-true")
-    forget(near)
+    sets = written(rows.mapInArrow(_pairs_of, "doc_id long, text_hash long, pairs binary"), f"{name}-sets")
+    p, q = (sets.select(F.col("doc_id").alias(side), F.col("text_hash").alias(f"hash_{side}"), F.col("pairs").alias(as_)) for side, as_ in ("ap", "bq"))
+    both = near.join(p, ["a", "hash_a"]).join(q, ["b", "hash_b"]).select("a", "b", "p", "q")
+    out = written(both.mapInArrow(_similar, "a long, b long"), f"{name}-true")
     forget(sets)
     return out
 
@@ -151,8 +155,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = written(shared.select("bucket", "b", "least"), "simhash-buckets")
     star = shared.select(F.col("b").alias("a"), F.col("least").alias("b"))
     star = star.unionByName(members.select(F.col("doc_id").alias("a"), "b")).filter("a <> b").distinct()
-    star = written(star, "simhash-pairs")
-    true = _verified(star, texts, docs, "simhash-star")
+    # one link of each text is tried first: of a group of near copies it leaves little to try
+    tried = _near(star, texts).groupBy("a", "hash_a").agg(F.min(F.struct("b", "hash_b")).alias("m")).select("a", "hash_a", "m.*")
+    tried = written(tried, "simhash-tried")
+    true = _verified(tried, docs, "simhash-star")
 
     # pairs of texts that share a bucket and that no chain of verified pairs joins yet
     found = components(true)
@@ -170,9 +176,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of = lambda k, doc: rooted.select("block", F.col("b").alias(f"b{k}"), F.col("root").alias(f"root{k}"), F.col("doc_id").alias(doc))
     apart = met.join(of(1, "x"), ["block", "b1", "root1"]).join(of(2, "y"), ["block", "b2", "root2"])
     apart = apart.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    rest = _verified(apart.join(star, ["a", "b"], "left_anti"), texts, docs, "simhash-rest")
+    apart = written(_near(apart.join(tried, ["a", "b"], "left_anti"), texts), "simhash-apart")
+    rest = _verified(apart, docs, "simhash-rest")
     roots = components(true.unionByName(rest).unionByName(copies))
-    for done in (texts, copies, members, shared, star, true, rest, found, rooted):
+    for done in (texts, copies, members, shared, tried, true, apart, rest, found, rooted):
         forget(done)
     return prints, roots
 
