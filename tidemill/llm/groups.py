@@ -1,11 +1,16 @@
-"""Groups of linked rows: connected components by repeated star joins, each round cut by a written table."""
+"""Groups of linked rows: verified pairs, and connected components by repeated star joins, each round cut by a written table."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.space import forget, written
+from tidemill.llm.space import checked, forget, written
+from tidemill.llm.tokens import col
 
 
 def components(edges: DataFrame, name: str = "groups") -> DataFrame:
@@ -37,3 +42,31 @@ def components(edges: DataFrame, name: str = "groups") -> DataFrame:
 def _chained(e: DataFrame) -> bool:
     """Whether some root is itself linked to a lesser node."""
     return not e.join(e.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+
+
+def similar(near: DataFrame, docs: DataFrame, sets_of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], least: float, name: str) -> DataFrame:
+    """Of written pairs (a, hash_a, b, hash_b) those whose sets have at least that Jaccard similarity, as a and b, written.
+
+    sets_of gives doc_id, hash and set, sorted distinct 32-bit values as bytes, from doc_id and text. Only texts in
+    pairs are read into sets; sets move by a, then with a by b, and never both together.
+    """
+    wanted = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
+    rows = docs.select("doc_id", F.lower("text").alias("text")).join(checked(wanted), "doc_id", "left_semi")
+    sets = written(rows.mapInArrow(sets_of, "doc_id long, hash long, set binary"), f"{name}-sets")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (p, q) in enumerate(zip(col(batch, "p"), col(batch, "q"), strict=True)):
+                both = np.concatenate([np.frombuffer(p.as_buffer(), np.uint32), np.frombuffer(q.as_buffer(), np.uint32)])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                keep[k] = common >= least * (len(both) - common)
+            mask = pa.array(keep)
+            yield pa.record_batch([col(batch, "a").filter(mask), col(batch, "b").filter(mask)], names=["a", "b"])
+
+    p, q = (sets.select(F.col("doc_id").alias(side), F.col("hash").alias(f"hash_{side}"), F.col("set").alias(as_)) for side, as_ in ("ap", "bq"))
+    both = near.join(p, ["a", "hash_a"]).join(q, ["b", "hash_b"]).select("a", "b", "p", "q")
+    out = written(both.mapInArrow(verify, "a long, b long"), f"{name}-true")
+    forget(sets)
+    return out

@@ -3,8 +3,8 @@
 The signature of a document is, for each of HASHES universal hash functions (a * x + b, high half), the least
 value over its shingles, runs of WIDTH words. Signatures are cut into bands of ROWS values; documents that share
 a band are candidates. In each band bucket every member is paired with the least one, so a bucket of n gives
-n - 1 pairs and not n * n; pairs are deduplicated and verified by the Jaccard similarity of the whole shingle
-sets (at least SIMILAR). Every pair within a bucket that the groups found so far still keep apart is then
+n - 1 pairs and not n * n; pairs are deduplicated and verified, the least-numbered of each document first, by the
+Jaccard similarity of the whole shingle sets (at least SIMILAR). Every pair within a bucket that the groups found so far still keep apart is then
 verified as well: the groups are the connected components of all verified candidate pairs.
 
 Documents of one shingle set are one from the start. Defined cases: null doc_ids are left out; null and wordless
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.groups import components
+from tidemill.llm.groups import components, similar
 from tidemill.llm.space import checked, forget, written
 from tidemill.llm.tokens import Words, col, distinct, mix64, slices, words_of
 
@@ -53,14 +53,18 @@ def shingle_sets(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return x, np.searchsorted(doc, np.arange(w.n_docs + 1))
 
 
+def set_hashes(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """One hash of each set of scrambled shingles."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(x)])
+    return mix64((total[cut[1:]] - total[cut[:-1]]) ^ np.diff(cut).astype(np.uint64)).view(np.int64)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, limit=1 << 20):
             x, cut = shingle_sets(words_of(col(part, "text")))
-            x = mix64(x)
-            total = np.concatenate([[np.uint64(0)], np.cumsum(x)])
-            n = np.diff(cut)
-            whole = mix64((total[cut[1:]] - total[cut[:-1]]) ^ n.astype(np.uint64)).view(np.int64)
+            x, n = mix64(x), np.diff(cut)
+            whole = set_hashes(x, cut)
             signed = pa.FixedSizeListArray.from_arrays(pa.array(signatures(x, cut).view(np.int32).ravel()), HASHES).cast(pa.list_(pa.int32()))
             yield pa.record_batch([col(part, "doc_id"), pa.array(whole), pa.array(n), signed], names=["doc_id", "set_hash", "n_shingles", "signature"])
 
@@ -74,62 +78,56 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             x, cut = shingle_sets(words_of(col(part, "text")))
-            narrow = mix64(x).astype(np.uint32)
+            x = mix64(x)
+            narrow = x.astype(np.uint32)
             sets = [np.unique(narrow[cut[d] : cut[d + 1]]).tobytes() for d in range(len(cut) - 1)]
-            yield pa.record_batch([col(part, "doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "set"])
+            yield pa.record_batch([col(part, "doc_id"), pa.array(set_hashes(x, cut)), pa.array(sets, pa.binary())], names=["doc_id", "hash", "set"])
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        for k, (p, q) in enumerate(zip(col(batch, "p"), col(batch, "q"), strict=True)):
-            both = np.concatenate([np.frombuffer(p.as_buffer(), np.uint32), np.frombuffer(q.as_buffer(), np.uint32)])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            keep[k] = common >= SIMILAR * (len(both) - common)
-        mask = pa.array(keep)
-        yield pa.record_batch([col(batch, "a").filter(mask), col(batch, "b").filter(mask)], names=["a", "b"])
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Of candidate pairs a > b those similar enough, written once."""
-    pairs = written(pairs, f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    rows = docs.select("doc_id", F.lower("text").alias("text")).join(checked(wanted), "doc_id", "left_semi")
-    sets = written(rows.mapInArrow(_sets, "doc_id long, set binary").groupBy("doc_id").agg(F.first("set").alias("set")), f"{name}-sets")
-    p, q = (sets.select(F.col("doc_id").alias(side), F.col("set").alias(as_)) for side, as_ in (("a", "p"), ("b", "q")))
-    out = written(pairs.join(p, "a").join(q, "b").select("a", "b", "p", "q").mapInArrow(_similar, "a long, b long"), f"{name}-true")
-    forget(sets)
-    return out
+def one_each(prints: DataFrame) -> DataFrame:
+    """One row of each doc_id, that of the least set hash; only rows of repeated ids move."""
+    repeated = prints.groupBy("doc_id").agg(F.min("set_hash").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    repeated = written(repeated.select("doc_id", "least"), "minhash-repeated")
+    if repeated.isEmpty():
+        return prints
+    once = prints.join(checked(repeated), "doc_id", "left_anti")
+    chosen = prints.join(checked(repeated), "doc_id").filter("set_hash = least").dropDuplicates(["doc_id"])
+    return once.unionByName(chosen.select(*prints.columns))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, signature, group_id (the least doc_id of its group) and group_size for each doc_id."""
-    rows = signed(docs).groupBy("doc_id").agg(F.min_by(F.struct("set_hash", "n_shingles", "signature"), "set_hash").alias("s"))
-    prints = written(rows.select("doc_id", "s.*"), "minhash-prints")
+    prints = one_each(written(signed(docs), "minhash-prints"))
     some = prints.filter("n_shingles > 0")
-    same = some.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("b"))
-    copies = written(some.join(same, ["set_hash", "n_shingles"]).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b"), "minhash-copies")
-    sets = some.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
+    same = some.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    pairs = some.select("doc_id", "set_hash", "n_shingles").join(same.drop("n"), ["set_hash", "n_shingles"])
+    copies = written(pairs.filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b"), "minhash-copies")
+    sets = some.join(checked(copies.select(F.col("a").alias("doc_id"))), "doc_id", "left_anti")
     bands = F.array(*(F.xxhash64(F.lit(k), F.slice("signature", k * ROWS + 1, ROWS)) for k in range(HASHES // ROWS)))
     whole = Window.partitionBy("bucket")
-    shared = sets.select("doc_id", F.explode(bands).alias("bucket")).withColumns({"least": F.min("doc_id").over(whole), "most": F.max("doc_id").over(whole)})
-    shared = written(shared.filter("least < most").select("bucket", "doc_id", "least"), "minhash-buckets")
-    star = written(shared.filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct(), "minhash-star")
-    true = _verified(star, docs, "minhash-star")
+    shared = sets.select("doc_id", "set_hash", F.explode(bands).alias("bucket"))
+    shared = shared.withColumns({"least": F.min(F.struct("doc_id", "set_hash")).over(whole), "most": F.max("doc_id").over(whole)})
+    shared = shared.filter("least.doc_id < most").select("bucket", "doc_id", "set_hash", F.col("least.doc_id").alias("b"), F.col("least.set_hash").alias("hash_b"))
+    shared = written(shared, "minhash-buckets")
+    # one link of each document is tried first: of a group of near copies it leaves little to try
+    tried = shared.filter("doc_id <> b").groupBy(F.col("doc_id").alias("a"), F.col("set_hash").alias("hash_a"))
+    tried = written(tried.agg(F.min(F.struct("b", "hash_b")).alias("m")).select("a", "hash_a", "m.*"), "minhash-tried")
+    true = similar(tried, docs, _sets, SIMILAR, "minhash-star")
 
     # pairs that share a bucket and that no chain of verified pairs joins yet
     found = components(true)
     rooted = shared.join(checked(found.select(F.col("node").alias("doc_id"), "root")), "doc_id", "left")
-    rooted = rooted.select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    rooted = rooted.select("bucket", "doc_id", "set_hash", F.coalesce("root", "doc_id").alias("root"))
     rooted = rooted.withColumns({"low": F.min("root").over(whole), "high": F.max("root").over(whole)}).filter("low < high")
-    x, y = (rooted.select("bucket", F.col("doc_id").alias(k), F.col("root").alias(f"root_{k}")) for k in "xy")
-    apart = x.join(y, "bucket").filter("root_x < root_y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    rest = _verified(apart.distinct().join(star, ["a", "b"], "left_anti"), docs, "minhash-rest")
+    x, y = (rooted.select("bucket", F.struct("doc_id", "set_hash").alias(k), F.col("root").alias(f"root_{k}")) for k in "xy")
+    apart = x.join(y, "bucket").filter("root_x < root_y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    apart = apart.select(*(F.col(c).alias(n) for c, n in (("x.doc_id", "a"), ("x.set_hash", "hash_a"), ("y.doc_id", "b"), ("y.set_hash", "hash_b"))))
+    apart = written(apart.join(tried, ["a", "b"], "left_anti").select("a", "hash_a", "b", "hash_b"), "minhash-apart")
+    rest = similar(apart, docs, _sets, SIMILAR, "minhash-rest")
     roots = components(true.unionByName(rest).unionByName(copies))
-    for done in (copies, shared, star, true, rest, found):
+    for done in (copies, shared, tried, true, apart, rest, found):
         forget(done)
-    out = prints.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("group_id", F.coalesce("root", "doc_id"))
     sizes = roots.groupBy(F.col("root").alias("group_id")).agg((F.count("*") + 1).alias("size"))
-    out = out.join(sizes, "group_id", "left").withColumn("group_size", F.coalesce("size", F.lit(1)))
+    out = prints.join(checked(roots.withColumnRenamed("node", "doc_id")), "doc_id", "left").withColumn("group_id", F.coalesce("root", "doc_id"))
+    out = out.join(checked(sizes), "group_id", "left").withColumn("group_size", F.coalesce("size", F.lit(1)))
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("signature")).alias("signature"), "group_id", "group_size")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.groups import components
+from tidemill.llm.groups import components, similar
 from tidemill.llm.space import checked, forget, written
 from tidemill.llm.tokens import Words, col, mix64, slices, words_of
 
@@ -101,19 +101,7 @@ def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, cut = w.shingles(2)
             h = h.astype(np.uint32)
             sets = [np.unique(h[cut[d] : cut[d + 1]]).tobytes() for d in range(len(cut) - 1)]
-            yield pa.record_batch([col(part, "doc_id"), pa.array(text_hashes(w)), pa.array(sets, pa.binary())], names=["doc_id", "text_hash", "pairs"])
-
-
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        for k, (p, q) in enumerate(zip(col(batch, "p"), col(batch, "q"), strict=True)):
-            both = np.concatenate([np.frombuffer(p.as_buffer(), np.uint32), np.frombuffer(q.as_buffer(), np.uint32)])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            keep[k] = common >= SIMILAR * (len(both) - common)
-        mask = pa.array(keep)
-        yield pa.record_batch([col(batch, "a").filter(mask), col(batch, "b").filter(mask)], names=["a", "b"])
+            yield pa.record_batch([col(part, "doc_id"), pa.array(text_hashes(w)), pa.array(sets, pa.binary())], names=["doc_id", "hash", "set"])
 
 
 def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -123,18 +111,6 @@ def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return near.select("a", "b", "hash_a", "hash_b")
 
 
-def _verified(near: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Of written pairs those whose texts are similar, written. Sets move by a, then with a by b, and never in pairs."""
-    wanted = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-    rows = docs.select("doc_id", F.lower("text").alias("text")).join(checked(wanted), "doc_id", "left_semi")
-    sets = written(rows.mapInArrow(_pairs_of, "doc_id long, text_hash long, pairs binary"), f"{name}-sets")
-    p, q = (sets.select(F.col("doc_id").alias(side), F.col("text_hash").alias(f"hash_{side}"), F.col("pairs").alias(as_)) for side, as_ in ("ap", "bq"))
-    both = near.join(p, ["a", "hash_a"]).join(q, ["b", "hash_b"]).select("a", "b", "p", "q")
-    out = written(both.mapInArrow(_similar, "a long, b long"), f"{name}-true")
-    forget(sets)
-    return out
-
-
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The printed() table, one row for each doc_id, and root of each doc_id that is not the least of its group."""
     rows = printed(docs).groupBy("doc_id").agg(F.min_by(F.struct("text_hash", "n_words", "prints"), "text_hash").alias("s"))
@@ -158,7 +134,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # one link of each text is tried first: of a group of near copies it leaves little to try
     tried = _near(star, texts).groupBy("a", "hash_a").agg(F.min(F.struct("b", "hash_b")).alias("m")).select("a", "hash_a", "m.*")
     tried = written(tried, "simhash-tried")
-    true = _verified(tried, docs, "simhash-star")
+    true = similar(tried, docs, _pairs_of, SIMILAR, "simhash-star")
 
     # pairs of texts that share a bucket and that no chain of verified pairs joins yet
     found = components(true)
@@ -177,7 +153,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     apart = met.join(of(1, "x"), ["block", "b1", "root1"]).join(of(2, "y"), ["block", "b2", "root2"])
     apart = apart.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     apart = written(_near(apart.join(tried, ["a", "b"], "left_anti"), texts), "simhash-apart")
-    rest = _verified(apart, docs, "simhash-rest")
+    rest = similar(apart, docs, _pairs_of, SIMILAR, "simhash-rest")
     roots = components(true.unionByName(rest).unionByName(copies))
     for done in (texts, copies, members, shared, tried, true, apart, rest, found, rooted):
         forget(done)
