@@ -7,7 +7,8 @@ the path, the one before if both do alike. The lines of the two are aligned by a
 the lines of the page that are on it, which the site repeats, are deleted.
 
 Neighbours are found by a range-partitioned sort of the paths alone, numbered by partition; no host is held by one
-task. Lines move by two joins, of page to neighbour.
+task. Lines are compared by 64-bit hashes, so only hashes move between neighbours; the lines stay where they are
+written, and the places to keep come to them.
 
 Defined cases: null, empty and markup-only html has no lines and gives an empty text; a null or host-less URL has
 the empty host, and a null path is the empty one; the only page of a host keeps all its lines; repeated rows are
@@ -22,10 +23,11 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.space import forget, written
+from tidemill.llm.space import checked, forget, written
 from tidemill.llm.tokens import col, slices
 
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|head|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -44,7 +46,7 @@ def lines_of(page: str | None) -> list[str]:
     return [line for line in (x.strip() for x in _SPACE.sub(" ", html.unescape(text)).split("\n")) if line]
 
 
-def common(a: list[str], b: list[str]) -> list[bool]:
+def common(a: list, b: list) -> list[bool]:
     """Which of a's lines are on a longest common subsequence with b.
 
     Hunt and Szymanski: the longest rising chain of matches, after cutting equal ends; of equal chains the one
@@ -58,7 +60,7 @@ def common(a: list[str], b: list[str]) -> list[bool]:
     while high_a > low and high_b > low and a[high_a - 1] == b[high_b - 1]:
         high_a, high_b = high_a - 1, high_b - 1
         on[high_a] = True
-    places: dict[str, list[int]] = {}
+    places: dict[object, list[int]] = {}
     for j in range(high_b - 1, low - 1, -1):
         places.setdefault(b[j], []).append(j)
     ends: list[int] = []
@@ -86,11 +88,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["rid", "page_id", "host", "path", "lines", "hashes"]
     for batch in batches:
         for part in slices(batch, "html"):
             lines = [lines_of(x) for x in col(part, "html").to_pylist()]
-            keep = [col(part, c) for c in ("rid", "page_id", "host", "path")]
-            yield pa.record_batch([*keep, pa.array(lines, pa.list_(pa.string()))], names=["rid", "page_id", "host", "path", "lines"])
+            hashes = [[xxhash.xxh64_intdigest(x) - (1 << 63) for x in page] for page in lines]
+            keep = [col(part, c) for c in names[:4]]
+            yield pa.record_batch([*keep, pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], names=names)
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
@@ -122,25 +126,25 @@ def _shared_prefix(a: Column, b: Column) -> Column:
     return F.when(size > 0, F.coalesce(F.get(differ, F.lit(0)) - 1, size)).otherwise(0)
 
 
-def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["page_id", "near_id", "n_lines", "n_shared", "text"]
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for lines, other in zip(col(batch, "lines").to_pylist(), col(batch, "other").to_pylist(), strict=True):
-            on = common(lines, other or [])
-            rows.append((len(lines), sum(on), "\n".join(x for x, drop in zip(lines, on, strict=True) if not drop)))
-        n, shared, text = zip(*rows, strict=True) if rows else ((), (), ())
-        columns = [pa.array(n, pa.int32()), pa.array(shared, pa.int32()), pa.array(text, pa.string())]
-        yield pa.record_batch([col(batch, "page_id"), col(batch, "near_id"), *columns], names=names)
+        shared = [common(a, b) for a, b in zip(col(batch, "hashes").to_pylist(), col(batch, "other").to_pylist(), strict=True)]
+        yield pa.record_batch([col(batch, "rid"), col(batch, "near_id"), pa.array(shared, pa.list_(pa.bool_()))], names=["rid", "near_id", "shared"])
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, near_id (page_id of the nearest page, or null), n_lines, n_shared and text of each row."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.monotonically_increasing_id().alias("rid"), "page_id", host.alias("host"), path.alias("path"), "html")
-    lined = written(rows.mapInArrow(_lined, "rid long, page_id long, host string, path string, lines array<string>"), "html-lines")
+    schema = "rid long, page_id long, host string, path string, lines array<string>, hashes array<long>"
+    lined = written(rows.mapInArrow(_lined, schema), "html-lines")
     near = written(neighbours(lined), "html-near")
-    other = lined.select(F.col("rid").alias("near"), F.col("page_id").alias("near_id"), F.col("lines").alias("other"))
-    pairs = near.join(other, "near").select("rid", "near_id", "other")
-    both = lined.select("rid", "page_id", "lines").join(pairs, "rid", "left").select("page_id", "near_id", "lines", "other")
-    return both.mapInArrow(_differenced, "page_id long, near_id long, n_lines int, n_shared int, text string")
+    other = lined.select(F.col("rid").alias("near"), F.col("page_id").alias("near_id"), F.col("hashes").alias("other"))
+    pairs = near.join(other, "near").join(lined.select("rid", "hashes"), "rid").select("rid", "near_id", "hashes", "other")
+    shared = written(pairs.mapInArrow(_aligned, "rid long, near_id long, shared array<boolean>"), "html-shared")
+    forget(near)
+    out = lined.select("rid", "page_id", "lines").join(checked(shared, 80), "rid", "left")
+    gone = F.coalesce("shared", F.array().cast("array<boolean>"))
+    kept = F.filter("lines", lambda _, k: ~F.coalesce(F.get(gone, k), F.lit(False)))
+    n_shared = F.size(F.filter(gone, lambda x: x))
+    return out.select("page_id", "near_id", F.size("lines").alias("n_lines"), n_shared.alias("n_shared"), F.array_join(kept, "\n").alias("text"))
