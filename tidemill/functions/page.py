@@ -329,6 +329,8 @@ def extract(html: str, url: str | None = None, options: Options = Options()) ->
         metadata = extract_metadata(parse(html), url) | {"word_count": word_count(video)}
         flat = "\n".join(x for x in video.split("\n") if not x.startswith(("#", "**"))).strip()
         return Page(metadata, Content(video, flat), "social", structured.json_ld(html))
+    if url is not None and sites.is_post(url) and (post := sites.post_page(html, url)) is not None:
+        return Page(post[0], Content(post[1]), "social", [])
     doc = parse(html)
     base = None
     if url is not None:

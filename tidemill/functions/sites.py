@@ -30,6 +30,11 @@ def is_video(url: str) -> bool:
     return "youtu.be/" in url or "youtube.com/watch" in url
 
 
+def is_post(url: str) -> bool:
+    host = (url.split("://")[1] if "://" in url else url).split("/")[0]
+    return host in ("linkedin.com", "www.linkedin.com") and any(p in url for p in ("/feed/update/", "/posts/"))
+
+
 # threads
 
 
@@ -320,3 +325,58 @@ def timed_text(xml: str) -> str:
 
 def dumps_thread(post: Post | None, comments: list[Comment]) -> str:
     return json.dumps({"post": asdict(post) if post else None, "comments": [asdict(c) for c in comments]}, ensure_ascii=False, sort_keys=True)
+
+
+# professional posts
+
+
+def post_page(source: str, url: str) -> tuple[dict[str, Any], str] | None:
+    """Metadata and markdown from the largest embedded entity list; None without one or without a post in it."""
+    best: list[Any] = []
+    for block in re.findall(r"<code[^>]*>(.*?)</code>", source, re.S):
+        if len(block.encode()) > 1000:
+            try:
+                found = at(loads(_unescaped(block)), "included")
+            except ValueError:
+                continue
+            if isinstance(found, list) and len(found) > len(best):
+                best = found
+    kind = lambda x: _or(text_at(x, "$type"), "")
+    people = {}
+    for x in best:
+        first = _or(text_at(x, "firstName"), "")
+        if "Profile" in kind(x) and first:
+            people[_or(text_at(x, "entityUrn"), "")] = (f"{first} {_or(text_at(x, 'lastName'), '')}".strip(), _or(text_at(x, "headline"), ""))
+    out = author = headline = ""
+    for x in best:
+        if "Update" not in kind(x):
+            continue
+        actor = at(x, "actor")
+        if isinstance(actor, dict):
+            by = actor.get("*author", actor.get("author"))
+            author, headline = people.get(by, (author, headline)) if isinstance(by, str) else (author, headline)
+            author = author or _or(text_at(actor, "name", "text"), "")
+            headline = headline or _or(text_at(actor, "description", "text"), "")
+        text = text_at(x, "commentary", "text", "text")
+        if text is not None:
+            out += (f"# {author}\n\n" if author else "") + (f"*{headline}*\n\n" if headline else "") + "---\n\n" + text.replace("\\n", "\n") + "\n\n"
+    if not out:
+        return None
+    notes = [(_or(text_at(x, "commenter", "title", "text"), "Someone"), text_at(x, "commentary", "text")) for x in best if "Comment" in kind(x)]
+    notes = [f"- **{name}**: {text}\n\n" for name, text in notes if text]
+    out += "---\n\n## Comments\n\n" + "".join(notes) if notes else ""
+    metadata: dict[str, Any] = dict.fromkeys(("title", "description", "author", "published_date", "language", "url", "site_name", "image", "favicon"))
+    metadata |= {"url": url, "site_name": "LinkedIn", "word_count": word_count(out)}
+    return metadata | ({"author": author, "title": f"{author}'s LinkedIn Post"} if author else {}), out
+
+
+def _unescaped(text: str) -> str:
+    names = {"amp": "&", "apos": "'", "gt": ">", "lt": "<", "quot": '"'}
+
+    def one(m: re.Match[str]) -> str:
+        if m[1].startswith("#"):
+            code = int(m[1][1:]) if m[1][1:].isdigit() else 0x110000
+            return chr(code) if code < 0xD800 or 0xE000 <= code < 0x110000 else m[0]
+        return names.get(m[1], m[0])
+
+    return re.sub(r"&([^;]{1,10});", one, text)
