@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.functions import urls
 
@@ -76,7 +77,7 @@ def blocked_address(text: str) -> bool:
     return any(ip in ipaddress.ip_network(n) for n in nets4.split())
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_blocked_host(host: pd.Series) -> pd.Series:
     return host.map(lambda h: h is not None and blocked_address(h))
 
