@@ -11,13 +11,13 @@ from tidemill.llm.space import labels_of, table, written
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from these documents, keeps."""
     model = quality.learn(docs, labels_of(spark, sf_dir, "quality"))
-    return quality.scored(docs, model).filter("keep").select(*docs.columns)
+    return quality.kept(docs, model)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity machine, learned from these documents, does not flag."""
     machine = toxicity.learn(docs, labels_of(spark, sf_dir, "toxic"))
-    return toxicity.scored(docs, machine).filter("not toxic").select(*docs.columns)
+    return toxicity.kept(docs, machine)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

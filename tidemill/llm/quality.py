@@ -221,18 +221,15 @@ def train(table: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mode
     return fit_nnpu(np.concatenate(positive), np.concatenate(unlabelled), prior)
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs with quality_score and keep, by one pass that moves nothing between executors."""
-    names = docs.columns
-    schema = docs.select("*", F.lit(0.0).alias("quality_score"), F.lit(True).alias("keep")).schema
+def kept(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs that the model keeps, by one pass that moves nothing between executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                z = model.score(measures(words_of(col(part, "text")))) if model else np.zeros(part.num_rows)
-                yield pa.record_batch([*part.columns, pa.array(z.astype(float)), pa.array(z >= 0)], names=[*names, "quality_score", "keep"])
+                yield part.filter(pa.array(model.score(measures(words_of(col(part, "text")))) >= 0)) if model else part
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:

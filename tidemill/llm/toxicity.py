@@ -165,19 +165,18 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
     return fit_cut(doc, np.asarray(lists.flatten()).astype(np.int64), toxic)
 
 
-def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
-    """The rows of docs with toxic_score and toxic (score above 0), by one pass that moves nothing between executors."""
-    names = docs.columns
-    schema = docs.select("*", F.lit(0.0).alias("toxic_score"), F.lit(True).alias("toxic")).schema
+def kept(docs: DataFrame, machine: Machine | None) -> DataFrame:
+    """The rows of docs that are not toxic, by one pass that moves nothing between executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_lower"):
-                w = words_of(col(part, "_lower"))
-                z = machine.logits(*terms(w), w.n_docs) if machine else np.full(w.n_docs, -np.inf)
-                yield pa.record_batch([*(col(part, c) for c in names), pa.array(z), pa.array(z > 0)], names=[*names, "toxic_score", "toxic"])
+            for part in slices(batch):
+                w = words_of(col(part, "text"))
+                mask = machine.logits(*terms(w), w.n_docs) <= 0 if machine else np.ones(w.n_docs, bool)
+                yield pa.RecordBatch.from_struct_array(col(part, "row")).filter(pa.array(mask))
 
-    return docs.withColumn("_lower", F.lower("text")).mapInArrow(run, schema)
+    rows = docs.select(F.struct("*").alias("row"), F.lower("text").alias("text"))
+    return rows.mapInArrow(run, docs.schema)
 
 
 def _only(batches: Iterator[pa.RecordBatch], machine: Machine | None) -> Iterator[pa.RecordBatch]:
