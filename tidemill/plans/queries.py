@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from tidemill import schemas
 from tidemill.functions import predicates, urls
 from tidemill.functions.urls import PATTERN
-from tidemill.operators import changes, crawl, extraction, reports, site
+from tidemill.operators import changes, completions, crawl, extraction, records, reports, site
 from tidemill.plans.tables import saved, shared_folder
-from tidemill.sources import scans, sinks
+from tidemill.sources import documents, scans, sinks
 from tidemill.streaming.watch import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,14 +155,14 @@ def public_ip_guard(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with s as (select {_BARE} as seed from pages order by page_id limit 1)
-    select page_id, {_NORMAL} as url from pages, s where {_BARE} = seed and {_SCHEME} = 'https' and not ends_with({_PATH}, '.xml')"""
+    f"""with s as (select {_BARE} as seed, {_SCHEME} as how from pages order by page_id limit 1)
+    select page_id, {_NORMAL} as url from pages, s where {_BARE} = seed and {_SCHEME} = how and not ends_with({_PATH}, '.xml')"""
 )
 def crawl_scope(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
-    seed = pages.groupBy().agg(F.min_by(urls.host(F.col("url")), "page_id").alias("host"))
+    seed = pages.groupBy().agg(F.min_by(urls.homepage(F.col("url")), "page_id").alias("seed"))
     rows = pages.crossJoin(F.broadcast(seed))
-    keep = predicates.in_crawl_scope(F.col("url"), F.concat(F.lit("https://"), "host", F.lit("/")))
+    keep = predicates.in_crawl_scope(F.col("url"), F.col("seed"))
     return rows.filter(keep).select("page_id", urls.normalize(F.col("url")).alias("url"))
 
 
@@ -504,3 +504,124 @@ def json_replies(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def compact_documents(spark: SparkSession, d: str) -> DataFrame:
     return extraction.compact_text(table(spark, d, "documents").select("doc_id", F.col("text").alias("markdown")))
+
+
+# site records, threads, documents, completions
+
+
+@query(
+    """select page_id, case page_id % 6 when 0 then 'github_repo' when 1 then 'npm' when 2 then 'hackernews' when 3 then 'etsy_listing' when 4 then 'youtube_video' end as vertical
+    from pages"""
+)
+def vertical_kind(spark: SparkSession, d: str) -> DataFrame:
+    """The vertical of made-up addresses, one of six kinds for each page, and of none for the sixth."""
+    i = F.col("page_id").cast("string")
+    heads = ["https://github.com/o/r", "https://www.npmjs.com/package/p", "https://news.ycombinator.com/item?id=", "https://www.etsy.com/listing/1000000", "https://youtu.be/v"]
+    url = F.col("url")
+    for k, head in enumerate(heads):
+        url = F.when(F.col("page_id") % 6 == k, F.concat(F.lit(head), i)).otherwise(url)
+    return table(spark, d, "pages").select("page_id", records.kind(url).alias("vertical"))
+
+
+def _packages(spark: SparkSession, d: str) -> DataFrame:
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    version = F.concat("page_id", F.lit(".0.0"))
+    doc = F.struct(
+        title.alias("description"), F.create_map(F.lit("latest"), version).alias("dist-tags"),
+        F.create_map(version, F.struct(F.lit("MIT").alias("license"))).alias("versions"),
+    )
+    url = F.concat(F.lit("https://www.npmjs.com/package/p"), "page_id")
+    return table(spark, d, "pages").select("page_id", url.alias("url"), F.to_json(doc).alias("payload"))
+
+
+@query(
+    """select page_id, 'npm' as vertical, 'p' || page_id as name, regexp_extract(html, '<title>([^<]*)</title>', 1) as description,
+    page_id || '.0.0' as latest_version, 'MIT' as license, 1::bigint as release_count from pages"""
+)
+def vertical_records(spark: SparkSession, d: str) -> DataFrame:
+    """Package records read from replies made of each page."""
+    read = records.records(_packages(spark, d))
+    fields = F.from_json("record", "name string, description string, latest_version string, license string, release_count long")
+    return read.select("page_id", "vertical", fields.alias("r")).select("page_id", "vertical", "r.*")
+
+
+@query()
+def vertical_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    return records.catalogue(spark)
+
+
+@query(
+    """select conv_id, turn as id, case when turn > 0 then turn - 1 end as parent_id, text, turn::int as depth from
+    (select conv_id, text, row_number() over (partition by conv_id order by turn, text) - 1 as turn from conversations)"""
+)
+def news_comments(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as discussions in which each turn answers the one before, flattened again."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
+    turns = table(spark, d, "conversations").select("conv_id", "text", (F.row_number().over(w) - 1).alias("id"))
+    own = F.concat(F.lit('{"type":"comment","id":'), "id", F.lit(',"parent_id":'), F.when(F.col("id") > 0, F.col("id") - 1).cast("string"))
+    own = F.coalesce(own, F.concat(F.lit('{"type":"comment","id":'), "id"))
+    body = F.concat(own, F.lit(","), F.substr(F.to_json(F.struct("text")), F.lit(2), F.length(F.to_json(F.struct("text"))) - 2), F.lit(',"children":['))
+    threads = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("id", body.alias("body")))).alias("t"))
+    nested = F.concat(F.lit('{"id":0,"type":"story","children":['), F.array_join("t.body", ""), F.repeat(F.lit("]}"), F.size("t")), F.lit("]}"))
+    replies = threads.select("conv_id", F.concat(F.lit("https://news.ycombinator.com/item?id="), "conv_id").alias("url"), nested.alias("payload"))
+    return records.news_comments(records.records(replies), "conv_id").select("conv_id", "id", "parent_id", "text", "depth")
+
+
+@query(
+    """select p_brand, count(*)::bigint as products, min(p_retailprice) as price_min, max(p_retailprice + 1) as price_max, bool_or(p_size % 2 = 0) as any_available,
+    (count(*) * 2)::bigint as variants from part group by p_brand"""
+)
+def price_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as products with two variants each."""
+    price = lambda more: (F.col("p_retailprice") + more).cast("string").alias("price")
+    variants = F.array(F.struct(price(0), (F.col("p_size") % 2 == 0).alias("available")), F.struct(price(1), F.lit(False).alias("available")))
+    url = F.concat(F.lit("https://shop.test/products/"), "p_partkey")
+    payload = F.to_json(F.struct(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), variants.alias("variants")).alias("product")))
+    rows = table(spark, d, "part").select("p_brand", url.alias("url"), payload.alias("payload"))
+    return records.price_ranges(records.records(rows, "shopify_product"), "p_brand")
+
+
+@query(
+    """select c_custkey, 'csv' as kind, '| name | segment |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c_name || ' | a, ' || c_mktsegment || ' |' as markdown from customer"""
+)
+def csv_documents(spark: SparkSession, d: str) -> DataFrame:
+    content = F.concat(F.lit("name,segment\r\n"), "c_name", F.lit(',"a, '), "c_mktsegment", F.lit('"\n'))
+    files = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("f"), "c_custkey", F.lit(".csv")).alias("path"), content.cast("binary").alias("content"))
+    return documents.documents(files).select("c_custkey", "kind", "markdown")
+
+
+@query(
+    """select page_id, unnest([1, 2, 3, 4]) as place, unnest(['comments', 'top', 'reply', 'deep']) as body from pages"""
+)
+def thread_comments(spark: SparkSession, d: str) -> DataFrame:
+    """Comments of a made-up thread page for each page: two at the top, one of which has a reply with a reply."""
+
+    def one(name: str, inner: str = "") -> str:
+        body = f'<form class="usertext"><div class="usertext-body"><div class="md"><p>{name}</p></div></div></form>'
+        child = f'<div class="child"><div class="sitetable listing">{inner}</div></div>'
+        return f'<div class="thing comment" data-fullname="t1_{name}" data-author="a"><div class="entry">{body}</div>{child}</div>'
+
+    listing = one("comments") + one("top", one("reply", one("deep")))
+    html = f'<html><body><div class="commentarea"><div class="sitetable nestedlisting">{listing}</div></div></body></html>'
+    url = F.concat(F.lit("https://old.reddit.com/r/x/comments/"), "page_id")
+    pages = table(spark, d, "pages").select("page_id", url.alias("url"), F.lit(html).alias("html"))
+    rows = site.thread_comments(pages, "page_id")
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("path"))
+    return rows.select("page_id", place.alias("place"), "body")
+
+
+def _echo(request: completions.Request) -> str:
+    """A completer that reports the length of the text."""
+    return f'<think>no</think>{{"length": {len(request.user)}}}' if request.json_mode else request.user.split(".")[0]
+
+
+@query("select conv_id, turn, length(text)::bigint as length from conversations")
+def completion_json(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn through a stand-in completer that answers with JSON."""
+    rows = completions.extract_by_schema(table(spark, d, "conversations"), "text", {"length": "integer"}, completions.Chain([("echo", _echo)]))
+    return rows.select("conv_id", "turn", F.from_json("json", "length long").alias("r")).select("conv_id", "turn", "r.length")
+
+
+@query("select conv_id, turn, trim(string_split(text, '.')[1]) as summary from conversations")
+def completion_summary(spark: SparkSession, d: str) -> DataFrame:
+    return completions.summarize(table(spark, d, "conversations"), "text", _echo).select("conv_id", "turn", "summary")
