@@ -35,7 +35,7 @@ _WORDS = -(-BLOCKS * BITS // 64)
 def _signs(hashes: np.ndarray) -> np.ndarray:
     """BLOCKS * BITS random bits of each hash, as 0 and 1."""
     seeds = mix64(np.arange(1, _WORDS + 1, dtype=np.uint64))
-    bits = np.unpackbits(mix64(hashes[:, None] ^ seeds[None, :]).view(np.uint8).reshape(len(hashes), -1), axis=1)
+    bits = np.unpackbits(mix64(hashes[:, None] ^ seeds[None, :]).view(np.uint8).reshape(len(hashes), 8 * _WORDS), axis=1)
     return bits[:, : BLOCKS * BITS]
 
 
