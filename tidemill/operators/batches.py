@@ -15,7 +15,9 @@ ROWS = 64
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread over all cores where a source came as fewer tasks than that, as one file of few megabytes does."""
+    """Spread over all cores where a source came as fewer tasks than that, as one file of few megabytes does; streams stay as they are."""
+    if df.isStreaming:
+        return df
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if len(df.inputFiles()) < n else df
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 from xml.parsers import expat
@@ -55,13 +56,15 @@ def qualifies(url: Column, seed: str, config: CrawlConfig) -> Column:
 
 def crawl(
     corpus: DataFrame, seed: str, config: CrawlConfig = CrawlConfig(), sitemap: DataFrame | None = None,  # noqa: B008
-    state: tuple[DataFrame, DataFrame] | None = None,
+    state: tuple[DataFrame, DataFrame] | None = None, on_level: Callable[[DataFrame], None] | None = None, keep_pages: bool = True,
+    cancelled: Callable[[], bool] = lambda: False,
 ) -> CrawlResult:
     """Level by level over a corpus of url (normalized), links (array of href) and, if it has it, error.
 
     A page that the corpus lacks, or that has an error, counts as failed and links nowhere. Each level is a few joins
     on URL and is saved, so plans don't grow with depth. sitemap (url) seeds the first level; state, the visited and
-    frontier of an earlier result, resumes it, with its counts from 0.
+    frontier of an earlier result, resumes it, with its counts from 0. on_level gets the pages of each level as it ends;
+    without keep_pages only the counts stay. cancelled is asked between levels, and what is left is the frontier.
     """
     spark = corpus.sparkSession
     error = F.col("error") if "error" in corpus.columns else F.lit(None).cast("string")
@@ -77,7 +80,7 @@ def crawl(
         visited, frontier = state
     levels: list[DataFrame] = []
     counts = {"total": 0, "ok": 0, "errors": 0}
-    while config.max_pages is None or counts["total"] < config.max_pages:
+    while (config.max_pages is None or counts["total"] < config.max_pages) and not cancelled():
         once = frontier.groupBy("url").agg(F.min(F.struct("seq", "depth")).alias("m")).select("url", "m.depth", "m.seq")
         todo = saved(once.join(visited, "url", "left_anti"), "crawl-todo")
         size = todo.count()
@@ -91,7 +94,10 @@ def crawl(
         level = saved(level.withColumn("error", F.when(~F.col("ok"), F.coalesce("error", F.lit("not in the corpus")))).drop("found"), "crawl-level")
         tally = level.agg(F.count("*").alias("n"), F.count_if("ok").alias("ok")).first()
         counts = {"total": counts["total"] + tally.n, "ok": counts["ok"] + tally.ok, "errors": counts["errors"] + tally.n - tally.ok}
-        levels.append(level.drop("links"))
+        if on_level:
+            on_level(level.drop("links"))
+        if keep_pages:
+            levels.append(level.drop("links"))
         visited = saved(visited.union(level.select("url")), "crawl-visited")
         out = level.filter(F.col("ok") & (F.col("depth") < config.max_depth)).select("depth", "seq", F.posexplode("links").alias("pos", "href"))
         out = out.filter(qualifies(F.col("href"), seed, config)).select(urls.normalize(F.col("href")).alias("url"), (F.col("depth") + 1).alias("depth"), "seq", "pos")

@@ -14,6 +14,15 @@ from tidemill.functions.tree import parse
 from tidemill.operators.batches import flat_map_rows, spread
 
 
+#: Bytes of text up to which a side of a join is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def small_side(df: DataFrame, text: str) -> DataFrame:
+    size = df.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def counters(extracted: DataFrame, *keys: str) -> DataFrame:
     """total, ok and errors."""
     failed = F.count_if(F.col("error_kind").isNotNull())
@@ -41,8 +50,11 @@ def token_report(extracted: DataFrame, pages: DataFrame, key: str) -> DataFrame:
 
 
 def fact_hits(texts: DataFrame, facts: DataFrame, key: str, text: str = "text", fact: str = "fact") -> DataFrame:
-    """found and total facts of each text: facts by key, or, without the key in them, all facts for all texts."""
-    pairs = texts.join(facts, key) if key in facts.columns else texts.crossJoin(F.broadcast(facts))
+    """found and total facts of each text: facts by key, or, without the key in them, all facts for all texts.
+
+    Facts for all texts are broadcast if they are few megabytes, counted; else Spark chooses the join.
+    """
+    pairs = texts.join(facts, key) if key in facts.columns else texts.crossJoin(small_side(facts, fact))
     hit = predicates.matches_fact(F.col(text), F.col(fact))
     return pairs.groupBy(key).agg(F.count_if(hit).alias("found"), F.count("*").alias("total"))
 
