@@ -16,7 +16,8 @@ _ENTITIES = {
     "amp": "&", "apos": "'", "bull": "•", "copy": "©", "gt": ">", "hellip": "…", "laquo": "«", "lt": "<",
     "mdash": "—", "nbsp": " ", "ndash": "–", "quot": '"', "raquo": "»", "reg": "®", "trade": "™",
 }
-_ENTITY = re.compile(r"&(#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z]+);")
+_FORMS = "#[xX][0-9a-fA-F]+", "#[0-9]+", "[a-zA-Z]+"
+_ENTITY = re.compile(f"&({'|'.join(_FORMS)});")
 INVISIBLE = "͏­​‌‍‎‏⁠⁢⁣⁤﻿"
 
 
@@ -69,8 +70,10 @@ def strip_leaked_scripts(text: str) -> str:
     return _grown(_fenced(text, cut))
 
 
-_OPENS = r"opens (?:in )?(?:a )?new (?:tab|window)|opens external (?:link|website)"
-_CHROME = re.compile(rf"\s*,\s*(?:{_OPENS}|external link)\b\.?|\s+\((?:{_OPENS}|external link)\)\.?|\s+external link\b\.?$", re.I)
+OPENS = "|".join(f"opens {what}" for what in ("(?:in )?(?:a )?new (?:tab|window)", "external (?:link|website)"))
+EXTERNAL, STOP = "external link", r"\b\.?"
+_ANY = f"(?:{OPENS}|{EXTERNAL})"
+_CHROME = re.compile(rf"\s*,\s*{_ANY}{STOP}|\s+\({_ANY}\)\.?|\s+{EXTERNAL}{STOP}$", re.I)
 
 
 def strip_link_chrome(text: str) -> str:
@@ -94,10 +97,12 @@ def collapse_spaced(text: str) -> str:
     return _closed(_fenced(text, change), text)
 
 
-_LINKED_IMAGE = re.compile(r"\[!\[([^\]]*)\]\([^)]+\)\]\(([^)]+)\)")
-_IMAGE_LINE = re.compile(r"!\[([^\]]*)\]\([^)]+\)\s*")
-_IMAGE = re.compile(r"!\[([^\]]*)\]\([^)]+\)")
-_EMPTY_LINK = re.compile(r"\[\s*\]\([^)]+\)")
+LABEL, _TARGET = r"\[([^\]]*)\]", r"\([^)]+\)"
+_TAKEN_TARGET = r"\(([^)]+)\)"
+_LINKED_IMAGE = re.compile(rf"\[!{LABEL}{_TARGET}\]{_TAKEN_TARGET}")
+_IMAGE_LINE = re.compile(rf"!{LABEL}{_TARGET}\s*")
+_IMAGE = re.compile(f"!{LABEL}{_TARGET}")
+_EMPTY_LINK = re.compile(rf"\[\s*\]{_TARGET}")
 
 
 def link_linked_images(text: str) -> str:
@@ -148,7 +153,8 @@ def strip_image_names(text: str) -> str:
     return _ended([x for x in lines(text) if not is_name(x.strip())])
 
 
-_BOLD, _STAR, _UNDER = re.compile(r"\*\*([^*]+)\*\*|__([^_]+)__"), re.compile(r"\*([^*]+)\*"), re.compile(r"\b_([^_]+)_\b")
+_NO_STAR, _NO_LINE = "([^*]+)", "([^_]+)"
+_BOLD, _STAR, _UNDER = re.compile(rf"\*\*{_NO_STAR}\*\*|__{_NO_LINE}__"), re.compile(rf"\*{_NO_STAR}\*"), re.compile(rf"\b_{_NO_LINE}_\b")
 
 
 def strip_emphasis(text: str) -> str:
@@ -227,7 +233,8 @@ _LONG = tuple(
     for x in "a diagram,a graphic,a photo,a picture,a rendering,a screenshot,an animation,an icon,an illustration,an image,"
     "this element contains,this image depicts,this image shows".split(",")
 )
-_ELEMENT = re.compile(r"This element contains [^.]*\.[^.]*\.(?:\s*[^.]*\.)*")
+_SENTENCE = r"[^.]*\."
+_ELEMENT = re.compile(rf"This element contains {_SENTENCE}{_SENTENCE}(?:\s*{_SENTENCE})*")
 
 
 def is_long_description(line: str) -> bool:
@@ -239,7 +246,7 @@ def strip_long_descriptions(text: str) -> str:
     return _grown([_ELEMENT.sub("", x).rstrip() for x in lines(text) if not is_long_description(x)])
 
 
-_RULES = re.compile(r"@(?:font-face|keyframes|layer|media|supports)\s*[^{]*\{[^}]*\}?")
+_RULES = re.compile(r"@(?:font-face|keyframes|layer|media|supports)\s*" + r"[^{]*\{" + r"[^}]*\}?")
 
 
 def is_style_line(bare: str) -> bool:
@@ -305,7 +312,7 @@ def drop_learn_more(text: str) -> str:
     return _grown(out)
 
 
-_LINK = re.compile(r"\[([^\]]*)\]\(([^)]+)\)")
+_LINK = re.compile(LABEL + _TAKEN_TARGET)
 _ACTIONS = frozenset("favorite flag hide more next prev previous reply unflag vouch yesterday".split()) | {"just now"}
 _NOISE_TARGETS = tuple("#comment-stream #comments #disqus /flag?id= /from?site= /hide?id= /user?id=".split())
 

@@ -6,16 +6,15 @@ import json
 import re
 from typing import Any
 
-from tidemill.functions.cleanup import process_body
+from tidemill.functions.cleanup import EXTERNAL, OPENS, STOP, process_body
 from tidemill.functions.page import Page
 from tidemill.functions.structured import dumps
 from tidemill.functions.text import size
 
 MOST_JSON, MOST_UNTYPED, LONG_FIELD, DEEPEST = 16 * 1024, 4 * 1024, 500, 64
 _HEADER = (("Title", "title"), ("Description", "description"), ("Author", "author"), ("Published", "published_date"), ("Language", "language"))
-_MARKS = re.compile(r"#{1,6}\s+|\*{1,2}|_{1,2}|`")
-_OPENS = r"opens (?:in )?(?:a )?new (?:tab|window)|opens external (?:link|website)"
-_CHROME = re.compile(rf"\s*,?\s*(?:{_OPENS})\b\.?|\s*,\s*external link\b\.?|\s+external link\b\.?$", re.I)
+_MARKS = re.compile("|".join((r"#{1,6}\s+", r"\*{1,2}", "_{1,2}", "`")))
+_CHROME = re.compile(rf"\s*,?\s*(?:{OPENS}){STOP}|\s*,\s*{EXTERNAL}{STOP}|\s+{EXTERNAL}{STOP}$", re.I)
 
 
 def header(metadata: dict[str, Any], url: str | None = None) -> str:

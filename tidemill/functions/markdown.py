@@ -277,10 +277,12 @@ def tidy(text: str) -> str:
     return "\n".join(out).strip()
 
 
+_LINK = r"\[([^\]]*)\]" + r"\([^)]*\)"
 _INLINE = [
-    (re.compile(p), r"\1") for p in (r"!\[([^\]]*)\]\([^)]*\)", r"\[([^\]]*)\]\([^)]*\)", r"\*\*([^*]+)\*\*", r"\*([^*]+)\*", r"`([^`]+)`")
-] + [(re.compile(r"(?m)^#{1,6}\s+"), "")]
-_RULE = re.compile(r"\|\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)*\|")
+    (re.compile(p), r"\1") for p in (f"!{_LINK}", _LINK, *(rf"{m}([^{m[-1]}]+){m}" for m in (r"\*\*", r"\*", "`")))
+] + [(re.compile("(?m)" + r"^#{1,6}\s+"), "")]
+_DASHES = r"\|\s*:?-{2,}:?\s*"
+_RULE = re.compile(rf"{_DASHES}({_DASHES})*\|")
 
 
 def plain(text: str) -> str:

@@ -247,7 +247,8 @@ def flat_comments(comments: list[Comment], path: tuple[int, ...] = (), parent: s
 
 # videos
 
-_PLAYER = re.compile(r"var\s+ytInitialPlayerResponse\s*=\s*(\{.+?\})\s*;")
+_STATE = r"(\{.+?\})"
+_PLAYER = re.compile(rf"var\s+ytInitialPlayerResponse\s*=\s*{_STATE}\s*;")
 
 
 def player(html: str) -> dict[str, Any] | None:

@@ -123,13 +123,30 @@ def group(pattern: str, text: str, flags: int = re.S) -> str | None:
 
 # markup
 
-_PROPERTY = re.compile(r'<meta[^>]+property="([^"]+)"[^>]+content="([^"]+)"', re.I)
-_NAMED = re.compile(r'<meta[^>]+name="([^"]+)"[^>]+content="([^"]+)"', re.I)
-_OPEN_GRAPH = re.compile(r'<meta[^>]+property="og:([a-z_]+)"[^>]+content="([^"]+)"', re.I)
+_VALUE, _WITHIN = '"([^"]+)"', "[^>]+"
+
+
+def _tag(name: str, *attributes: str) -> str:
+    """Pattern of a tag with these attributes in this order; a bare name takes its value."""
+    return f"<{name}{_WITHIN}" + _WITHIN.join(a if "=" in a else f"{a}={_VALUE}" for a in attributes)
+
+
+def _holding(mark: str, inner: str = "([^<]+)") -> str:
+    """Pattern of the text after the tag that mark is in."""
+    return f"{mark}[^>]*>{inner}<"
+
+
+_PROPERTY = re.compile(_tag("meta", "property", "content"), re.I)
+_NAMED = re.compile(_tag("meta", "name", "content"), re.I)
+_OPEN_GRAPH = re.compile(_tag("meta", 'property="og:([a-z_]+)"', "content"), re.I)
 _BASIC = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 _MORE = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#064;", "@"), ("&#x2022;", "•"), ("&hellip;", "…"))
 
 
+def _classed(name: str) -> str:
+    return f'class="[^"]*{name}[^"]*"'
+
+
 def decoded(text: str | None, names: Iterable[tuple[str, str]] = _MORE) -> str | None:
     for entity, c in names if text else ():
         text = text.replace(entity, c)
@@ -441,8 +458,8 @@ def _professional(page: Page) -> Record:
         raise VerticalError("no post number in the URL")
     urn = urn or f"urn:li:activity:{number}"
     address, graph = f"https://www.linkedin.com/embed/feed/update/{urn}", open_graph(page.payload, lower=True)
-    text = group(r'<p[^>]+class="[^"]*attributed-text-segment-list__content[^"]*"[^>]*>(.*?)</p>', page.payload)
-    title = group(r"<title>([^<]+)</title>", page.payload)
+    text = group(_holding(_tag("p", _classed("attributed-text-segment-list__content")), "(.*?)") + "/p>", page.payload)
+    title = group("<title>" + r"([^<]+)" + "</title>", page.payload)
     return {
         "url": page.url, "embed_url": address, "urn": urn, "canonical_url": decoded(graph.get("url")) or address, "data_completeness": "embed",
         "title": decoded(graph.get("title")), "body": None if text is None else decoded(untagged(text, "")).strip(),
@@ -455,15 +472,18 @@ _PHOTOS = site(r"instagram\.com")
 _NOT_USERS = "about|accounts|ads|api|blog|developer|directory|explore|fragments|login|p|press|privacy|reels?|session|signup|stories|terms|tv"
 
 
+_USER = 'class="CaptionUsername"'
+
+
 @vertical("instagram_post", rf"{_PHOTOS}/+(?P<kind>p|reels?|tv)/+(?P<code>[^/?#]+)")
 def _photo(page: Page) -> Record:
     kind, code, html = page.ids["kind"].rstrip("s"), page.ids["code"], page.payload
-    block = group(r'<div\s+class="Caption"[^>]*>(.*?)</div>', html)
+    block = group(_holding(r'<div\s+class="Caption"', "(.*?)") + "/div>", html)
     if block is not None:
-        block = untagged(re.sub(r'<a[^>]*class="CaptionUsername"[^>]*>.*?</a>', "", block, flags=re.S))
+        block = untagged(re.sub(_holding(f"<a[^>]*{_USER}", ".*?") + "/a>", "", block, flags=re.S))
         block = squeezed(decoded(block.strip())) or None
-    image = first(group(r'<img[^>]+class="[^"]*EmbeddedMediaImage[^"]*"[^>]+src="([^"]+)"', html), open_graph(html).get("image"))
-    name = group(r'class="CaptionUsername"[^>]*>([^<]+)<', html)
+    image = first(group(_tag("img", _classed("EmbeddedMediaImage"), "src"), html), open_graph(html).get("image"))
+    name = group(_holding(_USER), html)
     return {
         "url": page.url, "embed_url": f"https://www.instagram.com/p/{code}/embed/captioned/", "shortcode": code,
         "kind": "post" if kind == "p" else kind, "data_completeness": "embed", "author_username": decoded(name.strip()) if name else None,
@@ -555,12 +575,12 @@ def _some(offer: Record, spec: str) -> Record:
     return pick(offer, spec)
 
 
-@vertical("amazon_product", _shop(_AMAZON) + rf".*/(?:dp|gp/product|product|ASIN)/(?P<asin>[A-Z0-9]{{10}}){CUT}")
+@vertical("amazon_product", _shop(_AMAZON) + rf".*/(?:ASIN|dp|(?:gp/)?product)/(?P<asin>[A-Z0-9]{{10}}){CUT}")
 def _amazon(page: Page) -> Record:
     html = page.payload
     graph = {k: decoded(v, _BASIC) for k, v in open_graph(html).items()}
-    title = group(r'id="productTitle"[^>]*>([^<]+)<', html)
-    graph |= {k: v for k, v in (("title", title and title.strip()), ("image", group(r'id="landingImage"[^>]+src="([^"]+)"', html))) if v is not None}
+    title = group(_holding('id="productTitle"'), html)
+    graph |= {k: v for k, v in (("title", title and title.strip()), ("image", group(f'id="landingImage"{_WITHIN}src={_VALUE}', html))) if v is not None}
     product, known, offer = _listed(html, graph)
     codes = {"asin": page.ids["asin"], "sku": scalar(product, "sku"), "mpn": scalar(product, "mpn")}
     return {"url": page.url} | codes | known | _some(offer, "price currency availability condition=item_condition")
@@ -598,6 +618,9 @@ def _etsy(page: Page) -> Record:
 _STARS = {"1 star": "one_star", "2 stars": "two_stars", "3 stars": "three_stars", "4 stars": "four_stars", "5 stars": "five_stars"}
 
 
+_QUOTE = r'[\\"]+'
+
+
 def _stars(data: Any) -> dict[str, Record] | None:
     out: dict[str, Record] = {}
     for column in items(at(data, "mainEntity", "csvw:tableSchema", "csvw:columns")):
@@ -633,7 +656,7 @@ def _reviews(page: Page) -> Record:
     data = (own or tables or [None])[0]
     summary = next((n for n in nodes if at(n, "aiSummary") is not None), None)
     title, description = (decoded(graph.get(k), _BASIC) or "" for k in ("title", "description"))
-    rated = re.search(r'is rated\s*[\\"]+([^"\\]+)[\\"]+\s*with\s*([\d.]+)\s*/\s*5', title)
+    rated = re.search(rf"is rated\s*{_QUOTE}" + r'([^"\\]+)' + rf"{_QUOTE}\s*with\s*" + r"([\d.]+)\s*/\s*5", title)
     stars = _stars(data)
     average, total = _average(stars)
     people = "author=consumer.displayName author_country=consumer.countryCode author_review_count=consumer.numberOfReviews verified=consumer.isVerified"
@@ -687,6 +710,10 @@ def _video(page: Page) -> Record:
 _QUOTES = (*((e, "'") for e in ("&#x27;", "&#39;", "&rsquo;", "&#8217;", "&#x2019;", "’")), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
+def _step(part: str, rest: str) -> str:
+    return f'class="ch-suivi-colis-light-{part}{rest}"[^>]*>'
+
+
 def _words(html: str) -> str:
     return squeezed(decoded(untagged(html), (("&nbsp;", " "), *_QUOTES)) or "")
 
@@ -702,16 +729,16 @@ def _parcel(page: Page) -> Record:
         raise VerticalError(_words(got["error"]))
     top, rows = text_at(got, "top") or "", text_at(got, "tab") or ""
     steps: list[Record] = []
-    heads = list(re.finditer(r'<div[^>]*class="ch-suivi-colis-light-info(\s[^"]*)?"[^>]*>', top))
+    heads = list(re.finditer(r'<div[^>]*' + _step("info", r"(\s[^\"]*)?"), top))
     for k, head in enumerate(heads):
         part = top[head.end() : heads[k + 1].start() if k + 1 < len(heads) else len(top)]
-        label = _words(group(r'class="ch-suivi-colis-light-text(?:\s[^"]*)?"[^>]*>(.*?)</div>', part) or "")
+        label = _words(group(_step("text", r"(?:\s[^\"]*)?") + "(.*?)</div>", part) or "")
         kinds = head[1] or ""
         if label and all(s["label"] != label for s in steps):
             steps.append({"label": label, "state": "current" if "active" in kinds else "pending" if "after" in kinds else "completed"})
     events: list[Record] = []
-    for row in re.findall(r"<tr[^>]*>(.*?)</tr>", rows, re.S):
-        cells = re.findall(r"<t[dh][^>]*>(.*?)</t[dh]>", row, re.S)
+    for row in re.findall(_holding("<tr", "(.*?)") + "/tr>", rows, re.S):
+        cells = re.findall(_holding("<t[dh]", "(.*?)") + "/t[dh]>", row, re.S)
         if len(cells) > 1:
             (date, time), (office, what) = ([_words(x) for x in (*re.split(r"<br\s*/?>", c, maxsplit=1, flags=re.I), "")[:2]] for c in cells[:2])
             if date and time:
@@ -853,7 +880,7 @@ def _letter(page: Page) -> Record:
     return out | blank | {
         "data_source": "html_fallback", "slug": slug, "title": first(scalar(article, "headline"), graph.get("title")),
         "description": first(scalar(article, "description"), graph.get("description")), "cover_image": first(image_of(article), graph.get("image")),
-        "canonical_url": first(group(r'(?i)<link[^>]+rel="canonical"[^>]+href="([^"]+)"', html), page.url),
+        "canonical_url": first(group(_tag("link", 'rel="canonical"', "href"), html, re.S | re.I), page.url),
         "post_date": first(scalar(article, "datePublished"), meta(html, "article:published_time")), "updated_at": scalar(article, "dateModified"),
         "publication": {"name": graph.get("site_name")}, "authors": _writers(article), "fetch_source": "local",
     }
