@@ -67,12 +67,12 @@ class Machine:
 def fit(doc: np.ndarray, slot: np.ndarray, toxic: np.ndarray, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.1, seed: int = 7) -> Machine:
     """doc is sorted; only slots within LEAST_DOCS and LEAST_Z take part."""
     rng = np.random.default_rng(seed)
-    seen, row, df = np.unique(slot, return_inverse=True, return_counts=True)
-    share = toxic.mean()
-    z = (np.bincount(row, toxic[doc], len(seen)) - df * share) / np.sqrt(df * share * (1 - share))
+    share, df = toxic.mean(), np.bincount(slot, minlength=1 << BITS)  # by slot, without sorting: the driver's memory is small
+    hits = np.bincount(slot[(toxic > 0)[doc]], minlength=1 << BITS)
+    z = (hits - df * share) / np.sqrt(np.maximum(df, 1) * share * (1 - share))
     good = (df >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
-    use = good[row]
-    doc, row, seen = doc[use], (np.cumsum(good) - 1)[row[use]], seen[good]
+    use = good[slot]
+    doc, row, seen = doc[use], (np.cumsum(good) - 1)[slot[use]], np.flatnonzero(good)
     n, m = len(toxic), len(seen)
     w, v, bias = np.zeros(m), rng.normal(0, 0.01, (m, RANK)), float(np.log(share / (1 - share)))
     gw, gv = np.full(m, 1e-4), np.full((m, RANK), 1e-4)
@@ -132,7 +132,7 @@ def fit_cut(doc: np.ndarray, slot: np.ndarray, toxic: np.ndarray) -> Machine:
     held = np.arange(len(toxic)) % 5 == 4
     machine = fit(doc, slot, toxic)
     if 0 < toxic[held].sum() < held.sum() and 0 < toxic[~held].sum() < (~held).sum():
-        new = np.cumsum(~held) - 1
+        new = np.cumsum(~held, dtype=np.int32) - 1
         own = ~held[doc]
         part = fit(new[doc[own]], slot[own], toxic[~held])
         machine.bias -= cut(part.logits(doc, slot, len(toxic))[held], toxic[held])
@@ -161,8 +161,9 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
     if not len(toxic) or toxic.min() == toxic.max():
         return None
     lists = got.column("slots").combine_chunks()
-    doc = np.repeat(np.arange(len(toxic)), np.asarray(lists.value_lengths()))
-    return fit_cut(doc, np.asarray(lists.flatten()).astype(np.int64), toxic)
+    del got
+    doc = np.repeat(np.arange(len(toxic), dtype=np.int32), np.asarray(lists.value_lengths()))
+    return fit_cut(doc, np.asarray(lists.flatten()), toxic)
 
 
 def kept(docs: DataFrame, machine: Machine | None) -> DataFrame:
