@@ -70,7 +70,7 @@ def strip_leaked_scripts(text: str) -> str:
     return _grown(_fenced(text, cut))
 
 
-OPENS = "|".join(f"opens {what}" for what in ("(?:in )?(?:a )?new (?:tab|window)", "external (?:link|website)"))
+OPENS = "|".join(f"opens {what}" for what in ("(?:in )?" + "(?:a )?new (?:tab|window)", "external (?:link|website)"))
 EXTERNAL, STOP = "external link", r"\b\.?"
 _ANY = f"(?:{OPENS}|{EXTERNAL})"
 _CHROME = re.compile(rf"\s*,\s*{_ANY}{STOP}|\s+\({_ANY}\)\.?|\s+{EXTERNAL}{STOP}$", re.I)

@@ -13,7 +13,7 @@ MOST_BYTES, MOST_ENDPOINTS, MOST_SCRIPTS = 8 << 20, 2000, 40
 KINDS = ("relative_path", "absolute_url", "graph_ql", "web_socket")
 _PLAIN = r"[A-Za-z0-9_\-./]{0,200}"
 _RELATIVE = re.compile(rf"[\"'`](/{_PLAIN}?(?:api|discovery|g(?:raph)?ql|/gateway|/internal|/rest|/v[0-9]){_PLAIN})[\"'`]")
-_HOST, _STEPS = r"[A-Za-z0-9.\-]{1,253}", r"[A-Za-z0-9_\-./%]"
+_HOST, _STEPS = r"[-.0-9A-Za-z]{1,253}", r"[-./0-9A-Za-z_%]"
 _SOCKET = re.compile(f"wss?://{_HOST}(?:/{_STEPS}{{0,256}})?")
 _ABSOLUTE = re.compile(f"https?://{_HOST}(?:/{_STEPS}{{0,400}})?")
 _FILES = tuple(".css .jpg .js .png .svg .woff2".split())

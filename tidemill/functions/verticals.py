@@ -450,14 +450,17 @@ def _question(page: Page) -> Record:
     return {"url": page.url, "accepted_answer": best, "top_answers": answers} | pick(found[0], f"{spec} {_BY}")
 
 
+_ALNUM, _EMBED = "[A-Za-z0-9]", "/".join(("https://www.linkedin.com", "embed", "feed", "update"))
+
+
 @vertical("linkedin_post", r"^(?:[^/?#]*?://)?(?:www\.)?linkedin\.com(?=/).*?/(?:feed/update/urn:li:|posts/)")
 def _professional(page: Page) -> Record:
     urn = group(r"(urn:li:[^:/?#]*:[0-9]*(?::[^/?#]*)?)(?=[/?#]|$)", page.url)
-    number = None if urn else group(r"/posts/[^/]*?-([0-9]{15,})-[A-Za-z0-9]{2,}/?", page.url)
+    number = None if urn else group(rf"/posts/[^/]*?-([0-9]{{15,}})-{_ALNUM}{{2,}}/?", page.url)
     if not urn and not number:
         raise VerticalError("no post number in the URL")
     urn = urn or f"urn:li:activity:{number}"
-    address, graph = f"https://www.linkedin.com/embed/feed/update/{urn}", open_graph(page.payload, lower=True)
+    address, graph = f"{_EMBED}/{urn}", open_graph(page.payload, lower=True)
     text = group(_holding(_tag("p", _classed("attributed-text-segment-list__content")), "(.*?)") + "/p>", page.payload)
     title = group("<title>" + r"([^<]+)" + "</title>", page.payload)
     return {
@@ -656,15 +659,15 @@ def _reviews(page: Page) -> Record:
     data = (own or tables or [None])[0]
     summary = next((n for n in nodes if at(n, "aiSummary") is not None), None)
     title, description = (decoded(graph.get(k), _BASIC) or "" for k in ("title", "description"))
-    rated = re.search(rf"is rated\s*{_QUOTE}" + r'([^"\\]+)' + rf"{_QUOTE}\s*with\s*" + r"([\d.]+)\s*/\s*5", title)
+    rated = re.search(rf"is rated\s*{_QUOTE}" + r'([^"\\]+)' + rf"{_QUOTE}\s*with\s*" + r"([0-9.]+)" + r"\s*/\s*5", title)
     stars = _stars(data)
     average, total = _average(stars)
     people = "author=consumer.displayName author_country=consumer.countryCode author_review_count=consumer.numberOfReviews verified=consumer.isVerified"
     dates = "date_experienced=dates.experiencedDate date_published=dates.publishedDate"
     recent = [pick(r, f"id rating title text language source likes {people} {dates}") for r in follow(summary, "aiSummaryReviews[]")]
-    customers = group(r"(\d[\d,]*)\s+customers", description)
+    customers = group("([0-9][0-9,]*)" + r"\s+customers", description)
     return {
-        "url": page.url, "domain": domain, "business_name": first(text_at(data, "name"), group(r"^(.+?)\s+is rated\b", title), domain),
+        "url": page.url, "domain": domain, "business_name": first(text_at(data, "name"), group("^(.+?)" + r"\s+is rated\b", title), domain),
         "rating_label": rated[1].strip() if rated else None, "average_rating": first(average, rated and rated[2]),
         "review_count": first(total, customers and int(customers.replace(",", ""))), "rating_distribution": stars,
         "ai_summary": text_at(summary, "aiSummary", "summary"), "recent_reviews": recent, "review_count_listed": len(recent), "data_source": "local",
@@ -833,6 +836,9 @@ def _any_product(page: Page) -> Record:
     }
 
 
+_STORE = "/wp-json/wc/store" + "/v1/products"
+
+
 @vertical("woocommerce_product", r"^(?:[^:/?#]*://)?[^/]+(?=/).*?/(?:product|shop|producto|produit)/", auto=False)
 def _wares(page: Page) -> Record:
     slug = first(*(group(rf"/{word}/([^/?#]+)", page.url) for word in ("product", "shop", "producto", "produit")))
@@ -845,7 +851,7 @@ def _wares(page: Page) -> Record:
     prices = "price=prices.price regular_price=prices.regular_price sale_price=prices.sale_price currency=prices.currency_code currency_minor=prices.currency_minor_unit price_range=prices.price_range"
     about = "product_id=id name slug sku permalink on_sale in_stock=is_in_stock is_purchasable average_rating review_count description short_description"
     images = [pick(i, "src thumbnail alt") for i in items(at(p, "images"))]
-    address = f"{scheme_of(page.url)}://{host_of(page.url)}/wp-json/wc/store/v1/products?slug={slug}&per_page=1"
+    address = f"{scheme_of(page.url)}://{host_of(page.url)}{_STORE}?slug={slug}&per_page=1"
     counts = {"variation_count": len(items(at(p, "variations"))), "image_count": len(images), "images": images}
     return {"url": page.url, "api_url": address} | pick(p, f"{about} {prices} categories=categories[].name tags=tags[].name") | counts
 
