@@ -136,3 +136,21 @@ def test_sql_names(spark):
     assert "Some text of one." in rows[1].md and rows[1].t.startswith("> URL: ") and rows[2].md is None
     links = spark.sql("select p.page_id, l.* from p, lateral page_links(p.html) l where p.page_id in (1, 5)").collect()
     assert {(r.page_id, r.text, r.href) for r in links} == {(1, "next", "/n"), (5, "next", "/n")}
+
+
+def test_only_small_inputs_are_spread(spark, monkeypatch):
+    from tidemill.operators import batches
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    stored = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    assert "Exchange" in plan(batches.spread(stored))
+    monkeypatch.setattr(batches, "SMALL_TASK", 1)
+    assert "Exchange" not in plan(batches.spread(stored))
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    stored = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").filter("page_id < 5")
+    plan = extraction.extract_pages(stored, parts=("metadata",)).select("page_id", "metadata.title")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(page_id,5)" in plan
+    words = stored.select("page_id", normalize(F.col("url")).alias("url"))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<page_id:bigint,url:string>" in words

@@ -14,12 +14,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 ROWS = 64
 
 
+#: Input of more than so many bytes a core is left as its files split it: moving pages costs more than uneven tasks.
+SMALL_TASK = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spread over all cores where a source came as fewer tasks than that, as one file of few megabytes does; streams stay as they are."""
+    """A small input, which comes as fewer files than there are cores, over all cores; larger ones and streams stay as they are."""
     if df.isStreaming:
         return df
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if len(df.inputFiles()) < n else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(n) if size <= n * SMALL_TASK and len(df.inputFiles()) < n else df
 
 
 def map_rows(df: DataFrame, columns: list[str], function: Callable[..., dict[str, Any] | None], schema: T.StructType, keep: list[str] | None = None) -> DataFrame:

@@ -31,7 +31,8 @@ def counters(extracted: DataFrame, *keys: str) -> DataFrame:
 
 def percentiles(df: DataFrame, column: str, *keys: str) -> DataFrame:
     """Whole-number mean, nearest-rank p50, p90 and p99, and the greatest value."""
-    at = lambda q: F.expr(f"percentile_disc({q}) within group (order by {column})")
+    kind = df.schema[column].dataType
+    at = lambda q: F.expr(f"percentile_disc({q}) within group (order by {column})").cast(kind)
     mean = F.expr(f"sum({column}) div count({column})")
     return df.groupBy(*keys).agg(mean.alias("mean"), *(at(q).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.99)), F.max(column).alias("max"))
 
