@@ -51,6 +51,18 @@ def test_groups_equal_brute_force_over_fingerprints(spark):
     assert np.mean([got[a] == got[b] for a, b in close]) >= 0.9
 
 
+def test_recall_of_groups_of_two(spark):
+    """Against all pairs within FAR and SIMILAR, whether or not a block of theirs is near."""
+    rows = [(2 * k + c, edited(prose(k, 200), k, 0.01 + 0.09 * k / 200) if c else prose(k, 200)) for k in range(200) for c in (0, 1)]
+    prints = simhash.fingerprints(words_of(pa.array([t for _, t in rows])))
+    far = 0.3 * simhash.BLOCKS * simhash.BITS
+    distance = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :]).sum(axis=2)
+    edges = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if distance[a, b] <= far and similarity(rows[a][1], rows[b][1]) >= simhash.SIMILAR]
+    assert all(b == a + 1 and a % 2 == 0 for a, b in edges) and len(edges) > 150
+    got = {r.doc_id: r.group_id for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.mean([got[a] == got[b] for a, b in edges]) >= 0.9
+
+
 def test_ball_is_half_the_radius():
     masks = simhash.ball()
     assert len(set(masks)) == len(masks) == 1 + simhash.BITS and all(m.bit_count() <= 1 for m in masks)

@@ -27,8 +27,8 @@ from tidemill.llm.groups import components, similar
 from tidemill.llm.space import checked, forget, written
 from tidemill.llm.tokens import Words, col, mix64, slices, words_of
 
-BLOCKS, BITS, RADIUS = 5, 40, 2
-FAR, SIMILAR = 60, 0.5
+BLOCKS, BITS, RADIUS = 7, 30, 2
+FAR, SIMILAR = BLOCKS * BITS * 3 // 10, 0.5
 _WORDS = -(-BLOCKS * BITS // 64)
 
 
