@@ -62,3 +62,23 @@ def test_no_target_and_empty(spark):
     rows = lm.score(awkward(spark), labels(spark, [])).collect()
     assert all(r.loss_target > r.loss_background for r in rows if r.n_words and r.n_words > 1)
     assert lm.score(empty(spark), labels(spark, [1])).collect() == []
+
+
+def test_words_that_share_leading_hash_bits_are_counted_apart(spark):
+    """Losses by dictionaries of the words themselves: of so many, some agree in the first 18 bits of their hashes."""
+    texts = [" ".join(f"w{j}" for j in range(500 * k, 500 * k + 1000)) for k in range(8)] + ["w1 w2 w1 w2 w9"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(docs, labels(spark, [0, 8])).collect()}
+    size = len({w for t in texts for w in t.split()})
+    for name, used in (("loss_target", [texts[0], texts[8]]), ("loss_background", texts)):
+        words = Counter(w for t in used for w in t.split())
+        follow = Counter(w for t in used for w in t.split()[:-1])
+        pairs = Counter(p for t in used for p in zip(t.split(), t.split()[1:], strict=False))
+        total = sum(words.values())
+        for k, text in enumerate(texts):
+            n, last = 0.0, None
+            for w in text.split():
+                p = lm.A * pairs[last, w] / follow[last] + lm.B * words[w] / total if follow[last] else (lm.A + lm.B) * words[w] / total
+                n -= math.log(p + lm.C / size)
+                last = w
+            assert abs(got[k][name] - n / len(text.split())) < 1e-5

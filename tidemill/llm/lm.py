@@ -1,14 +1,15 @@
 """Cross-entropy difference by matched n-gram models.
 
-Target is the documents labelled quality 1, background all documents. Both models have one vocabulary, 2**WORD_BITS
-hashed words, one order, two, with 2**PAIR_BITS hashed word pairs, and one smoothing:
+Target is the documents labelled quality 1, background all documents. Both models have one vocabulary, the words of
+all documents, one order, two, and one smoothing:
     p(w | v) = A * pairs(v, w) / follow(v) + B * words(w) / words + C / V
-where follow(v) is the number of words after v, V the number of slots in use in the background, and the first word
+where follow(v) is the number of words after v, V the number of different words in the background, and the first word
 of a document, or one after a word that the model has not seen followed, has (A + B) in place of B. A document's
 score is its mean loss under the target less that under the background: the lower, the more like the target.
 
-Tables have a fixed size: each task counts into its own, the tables are summed in chunks by one small shuffle, and
-the two models are broadcast for scoring, which moves no text. Counts are of all documents; none are sampled.
+Words and word pairs are counted by 64-bit hashes in shuffled tables that grow with the input; none are sampled and
+none share a slot. Each different pair gets its two losses by joins on its words, and each row's pairs theirs by a
+join on the pair. No table is collected or held whole by a task.
 
 Defined cases: null, empty and wordless texts have no tokens and null losses and score; repeated rows are counted
 and scored each for itself; a null doc_id is background only. Without target documents p is C / V in the target.
@@ -16,118 +17,113 @@ and scored each for itself; a null doc_id is background only. Without target doc
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.space import checked
+from tidemill.llm.space import checked, forget, written
 from tidemill.llm.tokens import Words, col, mix64, slices, words_of
 
-WORD_BITS, PAIR_BITS = 18, 21
 A, B, C = 0.6, 0.35, 0.05
-_WORDS, _PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
-#: words, follow, pairs: where each begins in a model's flat table.
-_FOLLOW, _PAIR, _SIZE = _WORDS, 2 * _WORDS, 2 * _WORDS + _PAIRS
-CHUNK = 1 << 14
+_START = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def slots(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word slot of each word; for each word but the first of a document, its place and its pair's slot."""
-    word = (w.hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    inner = np.ones(len(word), bool)
+    """Hash of each word; for each word but the first of a document, its place and its pair's hash."""
+    inner = np.ones(len(w.hashes), bool)
     inner[w.offsets[:-1][w.counts > 0]] = False
     place = np.flatnonzero(inner)
-    pair = mix64(w.hashes[place - 1] * np.uint64(0x9E3779B97F4A7C15) + w.hashes[place]) >> np.uint64(64 - PAIR_BITS)
-    return word, place, pair.astype(np.int64)
+    pair = mix64(w.hashes[place - 1] * np.uint64(0x9E3779B97F4A7C15) + w.hashes[place])
+    return w.hashes, place, pair
 
 
-def tally(w: Words, docs: np.ndarray | None = None) -> np.ndarray:
-    """A flat table of the counts in all documents, or those that docs marks."""
+def _keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the hash of its pair, or one of its own if it is the first of a document; and places of the others."""
     word, place, pair = slots(w)
-    if docs is not None:
-        of_word = np.repeat(docs, w.counts)
-        inner = of_word[place]
-        place, pair = place[inner], pair[inner]
-    previous = word[place - 1]
-    words = word if docs is None else word[of_word]
-    return np.concatenate([np.bincount(words, minlength=_WORDS), np.bincount(previous, minlength=_WORDS), np.bincount(pair, minlength=_PAIRS)])
-
-
-@dataclass
-class Model:
-    table: np.ndarray
-    vocabulary: int
-
-    def losses(self, word: np.ndarray, place: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """-log p of each word."""
-        total = max(self.table[:_WORDS].sum(dtype=np.float64), 1.0)
-        unigram = self.table[word] / total
-        p = (A + B) * unigram
-        follow = self.table[_FOLLOW + word[place - 1]].astype(np.float64)
-        known = follow > 0
-        p[place[known]] = A * self.table[_PAIR + pair[known]] / follow[known] + B * unigram[place[known]]
-        return -np.log(p + C / self.vocabulary)
-
-
-def counts(docs: DataFrame, labels: DataFrame) -> tuple[Model, Model]:
-    """Target and background models."""
-    rows = docs.select("doc_id", F.lower("text").alias("text")).join(checked(labels.filter("label = 1")), "doc_id", "left")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((2, _SIZE), np.int64)
-        for batch in batches:
-            for part in slices(batch, limit=1 << 23):
-                w = words_of(col(part, "text"))
-                tables[0] += tally(w)
-                chosen = np.asarray(col(part, "label").is_valid())
-                if chosen.any():
-                    tables[1] += tally(w, chosen)
-        grid = tables.reshape(2, -1, CHUNK).transpose(1, 0, 2)
-        used = np.flatnonzero(grid.any(axis=(1, 2)))
-        packed = [zlib.compress(grid[k].astype("<i8").tobytes(), 1) for k in used]
-        yield pa.record_batch([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "n"])
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(2 * CHUNK, np.int64)
-        for n in group["n"]:
-            total += np.frombuffer(zlib.decompress(n), "<i8")
-        return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "n": [zlib.compress(total.tobytes(), 1)]})
-
-    summed = rows.mapInArrow(count, "chunk int, n binary").groupBy("chunk").applyInPandas(add, "chunk int, n binary")
-    grid = np.zeros((_SIZE // CHUNK, 2, CHUNK), np.float32)
-    for chunk, n in summed.toLocalIterator():
-        grid[chunk] = np.frombuffer(zlib.decompress(n), "<i8").reshape(2, CHUNK)
-    background, target = grid.transpose(1, 0, 2).reshape(2, -1)
-    vocabulary = max(int((background[:_WORDS] > 0).sum()), 1)
-    return Model(target, vocabulary), Model(background, vocabulary)
-
-
-def mean_losses(w: Words, models: tuple[Model, Model]) -> list[np.ndarray]:
-    word, place, pair = slots(w)
-    n = np.maximum(w.counts, 1)
-    owner = w.doc_of_word()
-    return [np.bincount(owner, m.losses(word, place, pair), w.n_docs) / n for m in models]
+    keys = mix64(word ^ _START)
+    keys[place] = pair
+    return keys, place
+
+
+def _count(inv: np.ndarray, n: int, chosen: np.ndarray) -> list[pa.Array]:
+    """How often each of n values occurs, in all and in chosen places."""
+    return [pa.array(np.bincount(inv, minlength=n)), pa.array(np.bincount(inv[chosen], minlength=n))]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    for batch in batches:
+        for part in slices(batch):
+            yield part, words_of(col(part, "text"))
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, w in _parts(batches):
+        chosen = np.repeat(np.asarray(col(part, "target").is_valid()), w.counts)
+        word, place, _ = slots(w)
+        uniq, inv = np.unique(word, return_inverse=True)
+        counts = _count(inv, len(uniq), chosen) + _count(inv[place - 1], len(uniq), chosen[place])
+        yield pa.record_batch([pa.array(uniq.view(np.int64)), *counts], names=["word", "n", "n_target", "follow", "follow_target"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, w in _parts(batches):
+        chosen = np.repeat(np.asarray(col(part, "target").is_valid()), w.counts)
+        keys, place = _keys(w)
+        uniq, first, inv = np.unique(keys, return_index=True, return_inverse=True)
+        previous, start = np.zeros(len(keys), np.uint64), np.ones(len(keys), bool)
+        previous[place], start[place] = w.hashes[place - 1], False
+        v = pa.array(previous[first].view(np.int64), mask=start[first])
+        names = ["pair", "previous", "word", "n", "n_target"]
+        yield pa.record_batch([pa.array(uniq.view(np.int64)), v, pa.array(w.hashes[first].view(np.int64)), *_count(inv, len(uniq), chosen)], names=names)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each different pair of each row, and how often it has it."""
+    for part, w in _parts(batches):
+        keys, _ = _keys(w)
+        owner = w.doc_of_word()
+        order = np.lexsort((keys, owner))
+        keys, owner = keys[order], owner[order]
+        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(keys)))
+        yield pa.record_batch([col(part, "row").take(pa.array(owner[first])), pa.array(keys[first].view(np.int64)), pa.array(n)], names=["row", "pair", "n"])
+
+
+def losses(rows: DataFrame) -> DataFrame:
+    """pair, loss_target and loss_background of each different pair, and first word, of row, text and target."""
+    text = rows.select("text", "target")
+    names = ["n", "n_target", "follow", "follow_target"]
+    words = text.mapInArrow(_words, "word long, n long, n_target long, follow long, follow_target long").groupBy("word")
+    words = written(words.agg(*(F.sum(c).alias(c) for c in names)), "lm-words")
+    total = words.agg(F.count("*").alias("size"), F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).first()
+    size = max(total["size"], 1)
+    pairs = text.mapInArrow(_pairs, "pair long, previous long, word long, n long, n_target long").groupBy("pair")
+    pairs = pairs.agg(F.first("previous").alias("previous"), F.first("word").alias("word"), F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    pairs = pairs.join(words.select("word", F.col("n").alias("of_word"), F.col("n_target").alias("of_word_target")), "word")
+    pairs = pairs.join(words.select(F.col("word").alias("previous"), "follow", "follow_target"), "previous", "left")
+
+    def loss(end: str) -> Column:
+        unigram, follow = F.col(f"of_word{end}") / F.lit(float(max(total[f"n{end}"] or 0, 1))), F.col(f"follow{end}")
+        p = F.when(follow > 0, A * F.col(f"n{end}") / follow + B * unigram).otherwise((A + B) * unigram)
+        return -F.log(p + C / size)
+
+    out = written(pairs.select("pair", loss("_target").alias("loss_target"), loss("").alias("loss_background")), "lm-losses")
+    forget(words)
+    return out
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, loss_target, loss_background and score, their difference, of each row."""
-    models = docs.sparkSession.sparkContext.broadcast(counts(docs, labels))
-    names = ["doc_id", "n_words", "loss_target", "loss_background", "score"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                w = words_of(col(part, "text"))
-                target, background = mean_losses(w, models.value)
-                none = w.counts == 0
-                losses = [pa.array(x, mask=none) for x in (target, background, target - background)]
-                yield pa.record_batch([col(part, "doc_id"), pa.array(w.counts), *losses], names=names)
-
-    rows = docs.select("doc_id", F.lower("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, loss_target double, loss_background double, score double")
+    marked = checked(labels.filter("label = 1").select("doc_id", F.lit(True).alias("target")).distinct())
+    rows = docs.select("doc_id", F.lower("text").alias("text")).join(marked, "doc_id", "left")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    met = rows.select("row", "text").mapInArrow(_met, "row long, pair long, n long").join(losses(rows), "pair")
+    kinds = ["loss_target", "loss_background"]
+    sums = met.groupBy("row").agg(F.sum("n").alias("n_words"), *(F.sum(F.col("n") * F.col(k)).alias(k) for k in kinds))
+    out = rows.select("row", "doc_id").join(sums, "row", "left")
+    means = [(F.col(k) / F.col("n_words")).alias(k) for k in kinds]
+    out = out.select("doc_id", F.coalesce("n_words", F.lit(0).cast("long")).alias("n_words"), *means)
+    return out.withColumn("score", F.col("loss_target") - F.col("loss_background"))
