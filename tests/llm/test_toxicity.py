@@ -52,3 +52,24 @@ def test_nothing_to_learn_from(spark):
     assert toxicity.classify(empty(spark), none).collect() == []
     assert not any(r.toxic for r in toxicity.classify(awkward(spark), none).collect())
     assert toxicity.kept(awkward(spark), None).count() == 17
+
+
+def either(n, seed):
+    """Toxic where both of a pair of words or neither is the first: each word alone is as frequent in clean texts."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        text = prose(seed * n + k, 40).split() + ["insulting" if a else "praising", "grouplings" if b else "neighbours"]
+        rng.shuffle(text)
+        rows.append((k, " ".join(text), int(a == b)))
+    return rows
+
+
+def test_pairs_without_marginal_effect_are_learned(spark):
+    train, test = either(2500, 1), either(600, 2)
+    docs = spark.createDataFrame([r[:2] for r in train], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in train], "doc_id long, label int")
+    got = toxicity.kept(spark.createDataFrame([r[:2] for r in test], "doc_id long, text string"), toxicity.learn(docs, labels))
+    clean = {r.doc_id for r in got.collect()}
+    assert np.mean([(r[0] in clean) == (r[2] == 0) for r in test]) > 0.95

@@ -4,7 +4,7 @@ Terms of a document are its distinct words, and the first 4 and 6 bytes of its l
 slots. With x the set of terms, the logit is
     bias + sum_i w_i + sum_(i<j) <v_i, v_j>
 so pairs of terms count beyond the terms alone. It is fitted by Adagrad on logistic loss, and the bias then set
-where held-out documents part best. Slots that stay at
+where held-out documents part best. Slots take part by document frequency alone. Those that stay at
 nothing are left out of scoring.
 
 Bounds: fitted on at most FIT_ROWS toxic and twice as many other labelled documents, those with the least hash
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from tidemill.llm.space import checked
 from tidemill.llm.tokens import Words, col, distinct, hash_spans, mix64, slices, words_of
 
-FIT_ROWS = 4_000
+FIT_ROWS = 10_000
 BITS, RANK, STEMS, EPOCHS = 20, 8, (4, 6), 25
-#: A slot takes part if so many sampled documents have it, and its toxic share is so many standard errors from the rest's.
-LEAST_DOCS, LEAST_Z = 4, 4.0
+#: A slot takes part if so many sampled documents have it, however they are labelled: pairs may tell where their members don't.
+LEAST_DOCS = 4
 _STEM_SALT = 0xA24BAED4963EE407
 
 
@@ -64,47 +64,56 @@ class Machine:
         return out
 
 
-def fit(doc: np.ndarray, slot: np.ndarray, toxic: np.ndarray, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.1, seed: int = 7) -> Machine:
-    """doc is sorted; only slots within LEAST_DOCS and LEAST_Z take part."""
+def fit(starts: np.ndarray, slot: np.ndarray, toxic: np.ndarray, among: np.ndarray, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.1, seed: int = 7) -> Machine:
+    """Document d has the slots from starts[d] to starts[d + 1]; among are the documents to learn from. Slots that LEAST_DOCS of them have take part."""
     rng = np.random.default_rng(seed)
-    share, df = toxic.mean(), np.bincount(slot, minlength=1 << BITS)  # by slot, without sorting: the driver's memory is small
-    hits = np.bincount(slot[(toxic > 0)[doc]], minlength=1 << BITS)
-    z = (hits - df * share) / np.sqrt(np.maximum(df, 1) * share * (1 - share))
-    good = (df >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
-    use = good[slot]
-    doc, row, seen = doc[use], (np.cumsum(good) - 1)[slot[use]], np.flatnonzero(good)
-    n, m = len(toxic), len(seen)
+    share, df, inside = toxic[among].mean(), np.zeros(1 << BITS, np.int64), np.zeros(len(toxic), bool)
+    inside[among] = True
+    runs = [(d, min(d + 1024, len(toxic))) for d in range(0, len(toxic), 1024)]  # the driver's memory is small: no second copy of all slots
+    for d, e in runs:
+        df += np.bincount(slot[starts[d] : starts[e]][np.repeat(inside[d:e], np.diff(starts[d : e + 1]))], minlength=1 << BITS)
+    good = df >= LEAST_DOCS
+    number, seen = (np.cumsum(good) - 1).astype(np.int32), np.flatnonzero(good)
+    n, m = len(among), len(seen)
+    row, size, at = np.empty(int(df[good].sum()), np.int32), np.zeros(len(toxic), np.int64), 0
+    for d, e in runs:
+        part = slot[starts[d] : starts[e]]
+        owner = np.repeat(np.arange(d, e), np.diff(starts[d : e + 1]))
+        use = good[part] & inside[owner]
+        size[d:e] = np.bincount(owner[use] - d, minlength=e - d)
+        row[at : at + use.sum()] = number[part[use]]
+        at += int(use.sum())
+    first = np.concatenate([[0], np.cumsum(size)])
     w, v, bias = np.zeros(m), rng.normal(0, 0.01, (m, RANK)), float(np.log(share / (1 - share)))
     gw, gv = np.full(m, 1e-4), np.full((m, RANK), 1e-4)
-    starts = np.searchsorted(doc, np.arange(n + 1))
-    size = np.diff(starts)
     scale = 1 / np.sqrt(np.maximum(size, 1))  # steps are by document length, scores are not
     for epoch in range(epochs):
-        order = rng.permutation(n)
+        order = among[rng.permutation(n)]
         step = rate / (1 + 0.5 * epoch)
         for k in range(0, n, batch):
             ids = order[k : k + batch]
-            lengths = size[ids]
-            local = np.repeat(np.arange(len(ids)), lengths)
-            flat = np.repeat(starts[ids] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-            r = row[flat]
-            vr = v[r]
-            cut = np.concatenate([[0], np.cumsum(lengths)])
-            total = np.add.reduceat(np.concatenate([vr, np.zeros((1, RANK))]), np.minimum(cut[:-1], len(vr)), axis=0)
-            total[lengths == 0] = 0
-            squares = np.bincount(local, (vr**2).sum(axis=1), len(ids))
-            z = bias + np.bincount(local, w[r], len(ids)) + 0.5 * ((total**2).sum(axis=1) - squares)
+            cut = np.concatenate([[0], np.cumsum(size[ids])])
+            r = row[np.repeat(first[ids] - cut[:-1], size[ids]) + np.arange(cut[-1])]
+            met = np.zeros(m, bool)
+            met[r] = True
+            uniq = np.flatnonzero(met)
+            inv = np.cumsum(met)[r] - 1
+            local = np.repeat(np.arange(len(ids)), size[ids])
+            vu = v[uniq]
+            alone = np.column_stack([w[uniq] - 0.5 * (vu**2).sum(axis=1), vu])
+            sums = np.add.reduceat(np.concatenate([alone[inv], np.zeros((1, RANK + 1))]), cut[:-1], axis=0)
+            sums[size[ids] == 0] = 0
+            total = sums[:, 1:]
+            z = bias + sums[:, 0] + 0.5 * (total**2).sum(axis=1)
             d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[ids]) / len(ids)
-            dr = (d * scale[ids])[local]
-            uniq, inv = np.unique(r, return_inverse=True)
-            g = np.bincount(inv, dr, len(uniq)) + 1e-5 * w[uniq]
+            dr = d * scale[ids]
+            back = np.column_stack([np.bincount(inv, x[local], len(uniq)) for x in (dr, *(dr[:, None] * total).T)])
+            g = back[:, 0] + 1e-5 * w[uniq]
             gw[uniq] += g * g
             w[uniq] -= step * g / np.sqrt(gw[uniq])
-            each = dr[:, None] * (total[local] - vr)
-            for f in range(RANK):
-                h = np.bincount(inv, each[:, f], len(uniq)) + 1e-4 * v[uniq, f]
-                gv[uniq, f] += h * h
-                v[uniq, f] -= 0.2 * step * h / np.sqrt(gv[uniq, f])
+            h = back[:, 1:] - back[:, :1] * vu + 1e-4 * vu
+            gv[uniq] += h * h
+            v[uniq] -= 0.2 * step * h / np.sqrt(gv[uniq])
             bias -= 0.05 * d.sum()
     live = np.flatnonzero((np.abs(w) > 1e-3) | (np.abs(v).max(axis=1, initial=0) > 1e-2))
     where = np.full(1 << BITS, len(live), np.int32)
@@ -127,15 +136,14 @@ def cut(z: np.ndarray, toxic: np.ndarray) -> float:
     return float(0.7 * z[order][best] + 0.3 * low)
 
 
-def fit_cut(doc: np.ndarray, slot: np.ndarray, toxic: np.ndarray) -> Machine:
+def fit_cut(starts: np.ndarray, slot: np.ndarray, toxic: np.ndarray) -> Machine:
     """fit(), its bias moved by the cut() of every fifth document under a machine of the others."""
     held = np.arange(len(toxic)) % 5 == 4
-    machine = fit(doc, slot, toxic)
+    machine = fit(starts, slot, toxic, np.arange(len(toxic)))
     if 0 < toxic[held].sum() < held.sum() and 0 < toxic[~held].sum() < (~held).sum():
-        new = np.cumsum(~held, dtype=np.int32) - 1
-        own = ~held[doc]
-        part = fit(new[doc[own]], slot[own], toxic[~held])
-        machine.bias -= cut(part.logits(doc, slot, len(toxic))[held], toxic[held])
+        part = fit(starts, slot, toxic, np.flatnonzero(~held))
+        z = [part.logits(np.zeros(starts[d + 1] - starts[d], np.int64), slot[starts[d] : starts[d + 1]], 1)[0] for d in np.flatnonzero(held)]
+        machine.bias -= cut(np.array(z), toxic[held])
     return machine
 
 
@@ -162,8 +170,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
         return None
     lists = got.column("slots").combine_chunks()
     del got
-    doc = np.repeat(np.arange(len(toxic), dtype=np.int32), np.asarray(lists.value_lengths()))
-    return fit_cut(doc, np.asarray(lists.flatten()), toxic)
+    starts = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()), dtype=np.int64)])
+    return fit_cut(starts, np.asarray(lists.flatten()), toxic)
 
 
 def kept(docs: DataFrame, machine: Machine | None) -> DataFrame:
