@@ -39,7 +39,8 @@ def roots(nodes, edges):
 
 def test_groups_equal_brute_force_over_fingerprints(spark):
     rows = near_copies()
-    prints = simhash.fingerprints(words_of(pa.array([t for _, t in rows])))
+    rare = simhash.rarity(spark.createDataFrame(rows, "doc_id long, text string"))
+    prints = simhash.fingerprints(words_of(pa.array([t for _, t in rows])), rare)
     distance = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :])
     edges = [
         (a, b) for a, b in itertools.combinations(range(len(rows)), 2)
@@ -54,7 +55,7 @@ def test_groups_equal_brute_force_over_fingerprints(spark):
 def test_recall_of_groups_of_two(spark):
     """Against all pairs within FAR and SIMILAR, whether or not a block of theirs is near."""
     rows = [(2 * k + c, edited(prose(k, 200), k, 0.01 + 0.09 * k / 200) if c else prose(k, 200)) for k in range(200) for c in (0, 1)]
-    prints = simhash.fingerprints(words_of(pa.array([t for _, t in rows])))
+    prints = simhash.fingerprints(words_of(pa.array([t for _, t in rows])), simhash.rarity(spark.createDataFrame(rows, "doc_id long, text string")))
     far = 0.3 * simhash.BLOCKS * simhash.BITS
     distance = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :]).sum(axis=2)
     edges = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if distance[a, b] <= far and similarity(rows[a][1], rows[b][1]) >= simhash.SIMILAR]
@@ -72,17 +73,21 @@ def test_ball_is_half_the_radius():
 
 def test_fingerprints_ignore_neighbours():
     texts = ["a b c", "", prose(3), "a a b"]
-    together = simhash.fingerprints(words_of(pa.array(texts)))
-    alone = np.concatenate([simhash.fingerprints(words_of(pa.array([t]))) for t in texts])
+    rare = np.random.default_rng(1).random(simhash.SLOTS).astype(np.float32)
+    together = simhash.fingerprints(words_of(pa.array(texts)), rare)
+    alone = np.concatenate([simhash.fingerprints(words_of(pa.array([t])), rare) for t in texts])
     assert (together == alone).all() and (together[1] == 0).all()
 
 
 def test_awkward_rows(spark):
     docs = wide(awkward(spark))
-    rows = {r.doc_id: (r.group_id, r.keep) for r in simhash.groups(docs).collect()}
+    found = simhash.groups(docs).collect()
+    assert len(found) == 16 and sorted(r.n_links for r in found if r.doc_id in (1, 2, 3)) == [1, 1, 2]
+    rows = {r.doc_id: (r.group_id, r.keep) for r in found if r.doc_id is not None}
+    assert [r.keep for r in found if r.doc_id is None] == [True, True]
     assert rows[1] == (1, True) and rows[2] == (1, False) and rows[3] == (1, False)
     assert rows[10] == (10, True) and rows[11] == (10, False)
-    assert all(rows[k] == (k, True) for k in (4, 5, 6, 7, 8, 9, 13, 14, 15)) and None not in rows and len(rows) == 14
+    assert all(rows[k] == (k, True) for k in (4, 5, 6, 7, 8, 9, 13, 14, 15)) and len(rows) == 14
     out = simhash.deduplicated(docs)
     assert out.columns == docs.columns
     ids = [r.doc_id for r in out.collect()]
@@ -94,6 +99,15 @@ def test_empty(spark):
     assert simhash.deduplicated(empty(spark)).collect() == []
 
 
+def test_null_and_repeated_ids_are_compared(spark):
+    rows = [(None, prose(1)), (None, prose(1)), (None, edited(prose(1), 3, 0.05)), (7, prose(2)), (7, prose(3)), (7, prose(3)), (8, prose(3)), (9, prose(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.deduplicated(docs).collect()
+    assert sum(r.doc_id is None for r in kept) == 1
+    assert sorted(r.text for r in kept if r.doc_id) == sorted([prose(2), prose(3), prose(4)])
+    assert len(simhash.groups(docs).collect()) == 6
+
+
 def test_components(spark):
     from tidemill.llm.groups import components
 

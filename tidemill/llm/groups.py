@@ -44,15 +44,16 @@ def _chained(e: DataFrame) -> bool:
     return not e.join(e.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
 
 
-def similar(near: DataFrame, docs: DataFrame, sets_of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], least: float, name: str) -> DataFrame:
+def similar(near: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], least: float, name: str) -> DataFrame:
     """Of written pairs (a, hash_a, b, hash_b) those whose sets have at least that Jaccard similarity, as a and b, written.
 
-    sets_of gives doc_id, hash and set, sorted distinct 32-bit values as bytes, from doc_id and text. Only texts in
-    pairs are read into sets; sets move by a, then with a by b, and never both together.
+    texts_of gives doc_id and text of the wanted doc_ids; sets_of gives doc_id, hash and set, sorted distinct 32-bit values
+    as bytes, from those. Only texts in pairs are read into sets; sets move by a, then with a by b, and never both together.
     """
     wanted = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-    rows = docs.select("doc_id", F.lower("text").alias("text")).join(checked(wanted), "doc_id", "left_semi")
-    sets = written(rows.mapInArrow(sets_of, "doc_id long, hash long, set binary"), f"{name}-sets")
+    sets = written(texts_of(wanted).mapInArrow(sets_of, "doc_id long, hash long, set binary"), f"{name}-sets")
+    if not sets.groupBy("doc_id", "hash").count().filter("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["doc_id", "hash"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

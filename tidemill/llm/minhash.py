@@ -109,10 +109,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     shared = shared.withColumns({"least": F.min(F.struct("doc_id", "set_hash")).over(whole), "most": F.max("doc_id").over(whole)})
     shared = shared.filter("least.doc_id < most").select("bucket", "doc_id", "set_hash", F.col("least.doc_id").alias("b"), F.col("least.set_hash").alias("hash_b"))
     shared = written(shared, "minhash-buckets")
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        return docs.select("doc_id", F.lower("text").alias("text")).join(checked(wanted), "doc_id", "left_semi")
+
     # one link of each document is tried first: of a group of near copies it leaves little to try
     tried = shared.filter("doc_id <> b").groupBy(F.col("doc_id").alias("a"), F.col("set_hash").alias("hash_a"))
     tried = written(tried.agg(F.min(F.struct("b", "hash_b")).alias("m")).select("a", "hash_a", "m.*"), "minhash-tried")
-    true = similar(tried, docs, _sets, SIMILAR, "minhash-star")
+    true = similar(tried, texts_of, _sets, SIMILAR, "minhash-star")
 
     # pairs that share a bucket and that no chain of verified pairs joins yet
     found = components(true)
@@ -123,7 +126,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     apart = x.join(y, "bucket").filter("root_x < root_y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     apart = apart.select(*(F.col(c).alias(n) for c, n in (("x.doc_id", "a"), ("x.set_hash", "hash_a"), ("y.doc_id", "b"), ("y.set_hash", "hash_b"))))
     apart = written(apart.join(tried, ["a", "b"], "left_anti").select("a", "hash_a", "b", "hash_b"), "minhash-apart")
-    rest = similar(apart, docs, _sets, SIMILAR, "minhash-rest")
+    rest = similar(apart, texts_of, _sets, SIMILAR, "minhash-rest")
     roots = components(true.unionByName(rest).unionByName(copies))
     for done in (copies, shared, tried, true, apart, rest, found):
         forget(done)

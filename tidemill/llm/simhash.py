@@ -1,17 +1,24 @@
 """Near-duplicate groups by SimHash and meet-in-the-middle ball hashing.
 
-A document's fingerprint is BLOCKS * BITS signs of random projections of its distinct words, each weighted by
-the root of its count. Two fingerprints are candidates if some block of BITS bits differs in at most RADIUS
-places: every distinct block emits all values within half the radius of it, which are shuffled; two blocks
-within the radius share one. In each bucket every member is paired with the least one, so a bucket of n gives
-n - 1 pairs and not n * n; pairs are deduplicated and verified, the nearest-numbered of each text first, by the whole fingerprint (at most FAR bits apart)
-and by the Jaccard similarity of the word pairs of the whole texts (at least SIMILAR). Then every pair within a
-bucket that the groups found so far still keep apart is verified as well: the groups are the connected
-components of all verified candidate pairs, no pair being left out.
-
-Texts of the same words in the same order are one text from the start, by a 64-bit hash and the number of words.
-Defined cases: a null doc_id belongs to no group and is not returned by groups(); null and wordless texts are in
-groups of their own, never compared; rows that repeat a doc_id count as one document, of its least text hash.
+A document's fingerprint is BLOCKS * BITS signs of random projections of its distinct words, each weighted by the root
+of its count and by the logarithm of how few documents have it, so that texts that share only common words have
+unlike fingerprints. Two fingerprints are candidates if some block of BITS bits differs in at most RADIUS places: every
+distinct block emits all values within half the radius of it, which are shuffled; two blocks within the radius share
+one. In each bucket every member is paired with the least one, so a bucket of n gives n - 1 pairs and not n * n; pairs
+are deduplicated and verified, the nearest-numbered of each text first, by the whole fingerprint (at most FAR bits
+apart) and by the Jaccard similarity of the word pairs of the whole texts (at least SIMILAR). Then every pair within a
+bucket that the groups found so far still keep apart is verified as well: the groups are the connected components of
+all verified candidate pairs, no pair being left out.
+
+Frequencies are of all documents, in SLOTS slots of word hashes: common words stand out of a slot's rare ones at every
+size of the corpus. Texts of the same words in the same order are one text from the start, by a 64-bit hash and the
+number of words. Documents are told apart by doc_id and a hash of the text; one whose doc_id is null, or was taken by
+another text of a lesser hash, goes by a number over 2**62 made of both.
+
+Defined cases: a null doc_id takes part like any other; null and wordless texts are in groups of their own, never
+compared; rows that repeat both doc_id and text are one document, rows that repeat a doc_id with other texts are
+documents of their own; ties between copies go to the least doc_id; very long texts are read whole, in slices of
+bytes; an empty table gives no rows; columns of docs other than doc_id and text are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +34,9 @@ from tidemill.llm.groups import components, similar
 from tidemill.llm.space import checked, forget, written
 from tidemill.llm.tokens import Words, col, mix64, slices, words_of
 
-BLOCKS, BITS, RADIUS = 7, 30, 2
+BLOCKS, BITS, RADIUS = 9, 30, 2
 FAR, SIMILAR = BLOCKS * BITS * 3 // 10, 0.5
+SLOTS = 1 << 16
 _WORDS = -(-BLOCKS * BITS // 64)
 
 
@@ -39,10 +47,33 @@ def _signs(hashes: np.ndarray) -> np.ndarray:
     return bits[:, : BLOCKS * BITS]
 
 
-def fingerprints(w: Words, step: int = 1 << 14) -> np.ndarray:
+def _slot(word: np.ndarray) -> np.ndarray:
+    return (word % np.uint64(SLOTS)).astype(np.int64)
+
+
+def rarity(docs: DataFrame) -> np.ndarray:
+    """For each slot the logarithm of the share of documents that have no word of it, over all documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS + 1, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                _, word, _ = words_of(col(part, "text")).distinct()
+                n[:SLOTS] += np.bincount(_slot(word), minlength=SLOTS)
+                n[SLOTS] += part.num_rows
+        yield pa.record_batch([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["slot", "n"])
+
+    rows = docs.select(F.lower("text").alias("text")).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    n = np.zeros(SLOTS + 1)
+    for slot, k in rows.collect():  # at most SLOTS + 1
+        n[slot] = k
+    return np.log((n[SLOTS] + 1) / np.maximum(n[:SLOTS], 1)).clip(1e-3).astype(np.float32)
+
+
+def fingerprints(w: Words, rare: np.ndarray, step: int = 1 << 14) -> np.ndarray:
     """BLOCKS integers of BITS bits for each document; zeros for one without words."""
     doc, word, count = w.distinct()
-    weight = np.sqrt(count).astype(np.float32)
+    weight = np.sqrt(count).astype(np.float32) * rare[_slot(word)]
     out = np.zeros((w.n_docs, BLOCKS * BITS), np.float32)
     cut = np.searchsorted(doc, np.arange(w.n_docs + 1))
     d = 0
@@ -64,20 +95,35 @@ def text_hashes(w: Words) -> np.ndarray:
     return mix64((total[w.offsets[1:]] - total[w.offsets[:-1]]) ^ w.counts.astype(np.uint64)).view(np.int64)
 
 
-def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            w = words_of(col(part, "text"))
-            prints = pa.FixedSizeListArray.from_arrays(pa.array(fingerprints(w).ravel()), BLOCKS).cast(pa.list_(pa.int64()))
-            yield pa.record_batch(
-                [col(part, "doc_id"), pa.array(text_hashes(w)), pa.array(w.counts), prints], names=["doc_id", "text_hash", "n_words", "prints"]
-            )
+def printed(docs: DataFrame, rare: np.ndarray) -> DataFrame:
+    """doc_id, content (a hash of the text as it is), text_hash, n_words and prints of each row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "content", "text_hash", "n_words", "prints"]
+        for batch in batches:
+            for part in slices(batch):
+                w = words_of(col(part, "text"))
+                prints = pa.FixedSizeListArray.from_arrays(pa.array(fingerprints(w, rare).ravel()), BLOCKS).cast(pa.list_(pa.int64()))
+                yield pa.record_batch([col(part, "doc_id"), col(part, "content"), pa.array(text_hashes(w)), pa.array(w.counts), prints], names=names)
 
-def printed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_words and prints of each row with a doc_id."""
-    rows = docs.filter("doc_id is not null").select("doc_id", F.lower("text").alias("text"))
-    return rows.mapInArrow(_printed, "doc_id long, text_hash long, n_words long, prints array<long>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("content"), F.lower("text").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, content long, text_hash long, n_words long, prints array<long>")
+
+
+def nodes(docs: DataFrame) -> DataFrame:
+    """One row for each document: id, doc_id, content, n_rows, text_hash, n_words and prints; written."""
+    rows = printed(docs, rarity(docs)).groupBy("doc_id", "content")
+    rows = rows.agg(F.first(F.struct("text_hash", "n_words", "prints")).alias("s"), F.count("*").alias("n_rows"))
+    rows = written(rows.select("doc_id", "content", "n_rows", "s.*"), "simhash-rows")
+    taken = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("content").alias("least"), F.count("*").alias("n"))
+    taken = written(taken.filter("n > 1").select("doc_id", "least"), "simhash-taken")
+    made = F.shiftrightunsigned(F.xxhash64("doc_id", "content"), 2).bitwiseOR(F.lit(1 << 62))
+    other = F.col("doc_id").isNull() | F.coalesce(F.col("content") != F.col("least"), F.lit(False))
+    out = rows.join(checked(taken), "doc_id", "left").withColumn("id", F.when(other, made).otherwise(F.col("doc_id"))).drop("least")
+    out = written(out, "simhash-prints")
+    forget(rows)
+    forget(taken)
+    return out
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -106,76 +152,87 @@ def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of candidate pairs those whose whole fingerprints are near, with both text hashes."""
-    of = lambda side: texts.select(*(F.col(c).alias(f"{n}{side}") for c, n in (("doc_id", ""), ("prints", "prints_"), ("text_hash", "hash_"))))
+    of = lambda side: texts.select(*(F.col(c).alias(f"{n}{side}") for c, n in (("id", ""), ("prints", "prints_"), ("text_hash", "hash_"))))
     near = pairs.join(of("a"), "a").join(of("b"), "b").filter(_distance(F.col("prints_a"), F.col("prints_b")) <= FAR)
     return near.select("a", "b", "hash_a", "hash_b")
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The printed() table, one row for each doc_id, and root of each doc_id that is not the least of its group."""
-    rows = printed(docs).groupBy("doc_id").agg(F.min_by(F.struct("text_hash", "n_words", "prints"), "text_hash").alias("s"))
-    prints = written(rows.select("doc_id", "s.*"), "simhash-prints")
-    some = prints.filter("n_words > 0")
-    same = some.groupBy("text_hash", "n_words").agg(F.min("doc_id").alias("b"))
-    copies = written(some.join(same, ["text_hash", "n_words"]).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b"), "simhash-copies")
-    texts = written(some.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti"), "simhash-texts")
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes() table, root of each id that is not the least of its group, and the links: verified pairs and copies."""
+    known = nodes(docs)
+    some = known.filter("n_words > 0").select("id", "text_hash", "n_words", "prints")
+    same = some.groupBy("text_hash", "n_words").agg(F.min("id").alias("b"))
+    copies = written(some.join(same, ["text_hash", "n_words"]).filter("id <> b").select(F.col("id").alias("a"), "b"), "simhash-copies")
+    texts = written(some.join(copies.select(F.col("a").alias("id")), "id", "left_anti"), "simhash-texts")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        chosen = known.select(F.col("id").alias("doc_id"), F.col("doc_id").alias("own_id"), "content").join(checked(wanted), "doc_id", "left_semi")
+        chosen = checked(written(chosen, "simhash-chosen"), 40)
+        rows = docs.select(F.col("doc_id").alias("own"), F.xxhash64("text").alias("held"), F.lower("text").alias("text"))
+        return rows.join(chosen, F.col("own").eqNullSafe(F.col("own_id")) & (F.col("held") == F.col("content"))).select("doc_id", "text")
 
-    blocks = texts.select("doc_id", F.posexplode("prints").alias("block", "value"))
-    blocks = blocks.withColumn("b", F.min("doc_id").over(Window.partitionBy("block", "value")))
+    blocks = texts.select("id", F.posexplode("prints").alias("block", "value"))
+    blocks = blocks.withColumn("b", F.min("id").over(Window.partitionBy("block", "value")))
     members = written(blocks, "simhash-members")  # a distinct block is named by its least text, b, and emits once
     masks = F.array(*(F.lit(m).cast("long") for m in ball()))
     bucket = F.col("value").bitwiseXOR(F.col("mask")).bitwiseOR(F.shiftleft(F.col("block").cast("long"), BITS))
-    spread = members.filter("doc_id = b").select("block", "b", "value", F.explode(masks).alias("mask")).select(bucket.alias("bucket"), "b")
+    spread = members.filter("id = b").select("block", "b", "value", F.explode(masks).alias("mask")).select(bucket.alias("bucket"), "b")
     whole = Window.partitionBy("bucket")
     shared = spread.withColumns({"least": F.min("b").over(whole), "most": F.max("b").over(whole)}).filter("least < most")
     shared = written(shared.select("bucket", "b", "least"), "simhash-buckets")
     star = shared.select(F.col("b").alias("a"), F.col("least").alias("b"))
-    star = star.unionByName(members.select(F.col("doc_id").alias("a"), "b")).filter("a <> b").distinct()
+    star = star.unionByName(members.select(F.col("id").alias("a"), "b")).filter("a <> b").distinct()
     # one link of each text is tried first: of a group of near copies it leaves little to try
     tried = _near(star, texts).groupBy("a", "hash_a").agg(F.min(F.struct("b", "hash_b")).alias("m")).select("a", "hash_a", "m.*")
     tried = written(tried, "simhash-tried")
-    true = similar(tried, docs, _pairs_of, SIMILAR, "simhash-star")
+    true = similar(tried, texts_of, _pairs_of, SIMILAR, "simhash-star")
 
     # pairs of texts that share a bucket and that no chain of verified pairs joins yet
     found = components(true)
-    rooted = members.join(checked(found.select(F.col("node").alias("doc_id"), "root")), "doc_id", "left")
-    rooted = written(rooted.select("block", "b", "doc_id", F.coalesce("root", "doc_id").alias("root")), "simhash-rooted")
+    rooted = members.join(checked(found.select(F.col("node").alias("id"), "root")), "id", "left")
+    rooted = written(rooted.select("block", "b", "id", F.coalesce("root", "id").alias("root")), "simhash-rooted")
     kinds = rooted.select("block", "b", "root").distinct()
     where = shared.select("bucket", "b", F.shiftright("bucket", BITS).cast("int").alias("block")).join(kinds, ["block", "b"])
     where = where.withColumns({"low": F.min("root").over(whole), "high": F.max("root").over(whole)}).filter("low < high")
-    where = where.select("bucket", "block", "b", "root")
+    where = written(where.select("bucket", "block", "b", "root"), "simhash-where")
     side = lambda t, k, *keys: t.select(*keys, F.col("b").alias(f"b{k}"), F.col("root").alias(f"root{k}"))
     met = side(where, 1, "bucket", "block").join(side(where, 2, "bucket"), "bucket").filter("root1 < root2").drop("bucket")
     alone = side(kinds, 1, "block").join(kinds.select("block", F.col("b").alias("b1"), F.col("root").alias("root2")), ["block", "b1"])
     alone = alone.filter("root1 < root2").withColumn("b2", F.col("b1"))
-    met = met.unionByName(alone).distinct()
-    of = lambda k, doc: rooted.select("block", F.col("b").alias(f"b{k}"), F.col("root").alias(f"root{k}"), F.col("doc_id").alias(doc))
+    met = written(met.unionByName(alone).distinct(), "simhash-met")
+    of = lambda k, doc: rooted.select("block", F.col("b").alias(f"b{k}"), F.col("root").alias(f"root{k}"), F.col("id").alias(doc))
     apart = met.join(of(1, "x"), ["block", "b1", "root1"]).join(of(2, "y"), ["block", "b2", "root2"])
     apart = apart.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     apart = written(_near(apart.join(tried, ["a", "b"], "left_anti"), texts), "simhash-apart")
-    rest = similar(apart, docs, _pairs_of, SIMILAR, "simhash-rest")
-    roots = components(true.unionByName(rest).unionByName(copies))
-    for done in (texts, copies, members, shared, tried, true, apart, rest, found, rooted):
+    rest = similar(apart, texts_of, _pairs_of, SIMILAR, "simhash-rest")
+    edges = written(true.unionByName(rest).unionByName(copies).distinct(), "simhash-links")
+    roots = components(edges)
+    for done in (texts, copies, members, shared, tried, true, where, met, apart, rest, found, rooted):
         forget(done)
-    return prints, roots
+    return known, roots, edges
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, group_id (the least doc_id of its group) and keep (whether it is that one) for each doc_id."""
-    prints, roots = links(docs)
-    out = prints.select("doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.col("root").isNull().alias("keep"))
+    """doc_id, group_id (the least id of its group), keep (whether it is that one) and n_links, the verified links of
+    the document, for each document."""
+    known, roots, edges = links(docs)
+    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
+    out = known.select("id", "doc_id").join(roots.withColumnRenamed("node", "id"), "id", "left").join(ends, "id", "left")
+    keep, n = F.col("root").isNull().alias("keep"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+    return out.select("doc_id", F.coalesce("root", "id").alias("group_id"), keep, n)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one of each group, and those without doc_id. Of rows that repeat a doc_id, one stays."""
-    prints, roots = links(docs)
-    out = docs.join(checked(roots.select(F.col("node").alias("doc_id"))), "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    forget(prints)
+    """The rows of docs that stay: one of each group, and one of rows that repeat doc_id and text."""
+    known, roots, edges = links(docs)
+    forget(edges)
+    gone = known.select("id", F.col("doc_id").alias("own_id"), "content", "n_rows").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    gone = written(gone.filter("root is not null or n_rows > 1").select("own_id", "content", F.col("root").isNotNull().alias("dropped")), "simhash-gone")
+    forget(known)
+    same = lambda side: docs["doc_id"].eqNullSafe(side["own_id"]) & (F.xxhash64(docs["text"]) == side["content"])
+    dropped, repeated = (gone.filter(q) for q in ("dropped", "not dropped"))
     if repeated.isEmpty():
-        return out
-    repeated = checked(repeated)
-    return out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(
-        out.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    )
+        return docs.join(checked(dropped, 40), same(dropped), "left_anti")
+    both = checked(gone, 40)
+    once = checked(repeated, 40)
+    return docs.join(both, same(both), "left_anti").unionByName(docs.join(once, same(once), "left_semi").dropDuplicates(["doc_id", "text"]))
