@@ -1,6 +1,7 @@
 import itertools
 import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -24,6 +25,23 @@ def test_common_is_a_longest_common_subsequence():
         assert sum(on) == lcs(a, b) and all(x in rest for x in kept)
 
 
+def test_halved_table_gives_a_longest_one(monkeypatch):
+    monkeypatch.setattr(html_diff, "TRACE_BITS", 40)
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 90))] for _ in "xy")
+        on = html_diff.common(a, b)
+        rest = iter(b)
+        assert sum(on) == lcs(a, b) and all(x in rest for x, k in zip(a, on, strict=True) if k)
+
+
+def test_many_repeated_lines_take_bounded_time():
+    a, b = (["x", "y"] * 4_000, ["y", "x", "x"] * 3_000)
+    began = time.perf_counter()
+    assert sum(html_diff.common(a, b)) >= 5_000
+    assert time.perf_counter() - began < 5
+
+
 def test_lines():
     page = "<head><title>t</title></head><body><script>var t='</p>'</script><nav><li>Home</li><li>A&amp;B</li></nav><p>one <b>two</b><br>three<!-- x --></p> <style>p{}</style>"
     assert html_diff.lines_of(page) == ["Home", "A&B", "one two", "three"]

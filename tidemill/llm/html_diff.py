@@ -12,14 +12,15 @@ written, and the places to keep come to them.
 
 Defined cases: null, empty and markup-only html has no lines and gives an empty text; a null or host-less URL has
 the empty host, and a null path is the empty one; the only page of a host keeps all its lines; repeated rows are
-pages of their own, so copies next to each other lose all their lines.
+pages of their own, so copies next to each other lose all their lines; pages of one path are in the order of page_id, nulls
+first, and then of their rows; very long pages are compared whole, in time bounded by their numbers of lines; an empty
+table gives no rows. Only page_id, url and html are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.space import checked, forget, written
+from tidemill.llm.space import BROADCAST_BYTES, forget, written
 from tidemill.llm.tokens import col, slices
 
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|head|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -46,11 +47,68 @@ def lines_of(page: str | None) -> list[str]:
     return [line for line in (x.strip() for x in _SPACE.sub(" ", html.unescape(text)).split("\n")) if line]
 
 
+#: Bits of rows kept at once while a subsequence is traced; longer inputs are halved first.
+TRACE_BITS = 1 << 28
+
+
+def _row(v: int, places: dict, line: object, full: int) -> int:
+    """The next row of the bit-parallel table: bit j is 0 where the longest common subsequence grows at b[j]."""
+    match = v & places.get(line, 0)
+    return ((v + match) | (v - match)) & full
+
+
+def _places(b: list) -> dict:
+    at: dict[object, int] = {}
+    for j, line in enumerate(b):
+        at[line] = at.get(line, 0) | 1 << j
+    return at
+
+
+def _lengths(a: list, b: list) -> list[int]:
+    """For each prefix of b the length of its longest common subsequence with a."""
+    full, at = (1 << len(b)) - 1, _places(b)
+    v = full
+    for line in a:
+        v = _row(v, at, line, full)
+    out, bits = [0], bin(v | 1 << len(b))[:2:-1]
+    for bit in bits:
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def _traced(a: list, b: list, first: int, on: list[bool]) -> None:
+    """Mark the places from first on of a's lines that are on a longest common subsequence with b."""
+    if not a or not b:
+        return
+    if len(a) > 1 and len(a) * len(b) > TRACE_BITS:
+        half = len(a) // 2
+        head, tail = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])[::-1]
+        cut = max(range(len(b) + 1), key=lambda j: head[j] + tail[j])
+        _traced(a[:half], b[:cut], first, on)
+        _traced(a[half:], b[cut:], first + half, on)
+        return
+    full, at, rows = (1 << len(b)) - 1, _places(b), []
+    v = full
+    for line in a:
+        v = _row(v, at, line, full)
+        rows.append(bin(v | 1 << len(b))[:2:-1] if len(b) < 64 else v.to_bytes(len(b) // 8 + 1, "little"))
+    grows = (lambda i, j: rows[i][j] == "0") if len(b) < 64 else lambda i, j: not rows[i][j >> 3] >> (j & 7) & 1
+    i, j = len(a), len(b)
+    while i and j:
+        if not grows(i - 1, j - 1):
+            j -= 1
+        else:
+            i -= 1
+            if not i or not grows(i - 1, j - 1):
+                j -= 1
+                on[first + i] = True
+
+
 def common(a: list, b: list) -> list[bool]:
-    """Which of a's lines are on a longest common subsequence with b.
+    """Which of a's lines are on a longest common subsequence with b: of equal ones, that of a's last lines before b's.
 
-    Hunt and Szymanski: the longest rising chain of matches, after cutting equal ends; of equal chains the one
-    whose matches in b end least. Space and time follow the matches, not the product of the lengths.
+    Equal ends are cut off, and lines that only one has; the rest goes through the bit-parallel table, a machine word of
+    b's lines at once, so the cost is bounded by the lengths, however often a line is repeated.
     """
     on = [False] * len(a)
     low, high_a, high_b = 0, len(a), len(b)
@@ -60,24 +118,12 @@ def common(a: list, b: list) -> list[bool]:
     while high_a > low and high_b > low and a[high_a - 1] == b[high_b - 1]:
         high_a, high_b = high_a - 1, high_b - 1
         on[high_a] = True
-    places: dict[object, list[int]] = {}
-    for j in range(high_b - 1, low - 1, -1):
-        places.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    links: list[tuple] = []
-    for i in range(low, high_a):
-        for j in places.get(a[i], ()):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            elif j < ends[k]:
-                ends[k], links[k] = j, link
-    link = links[-1] if links else None
-    while link:
-        on[link[0]] = True
-        link = link[1]
+    in_a, in_b = set(a[low:high_a]), set(b[low:high_b])
+    at = [i for i in range(low, high_a) if a[i] in in_b]
+    marks = [False] * len(at)
+    _traced([a[i] for i in at], [x for x in b[low:high_b] if x in in_a], 0, marks)
+    for i, mark in zip(at, marks, strict=True):
+        on[i] = mark
     return on
 
 
@@ -143,7 +189,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     pairs = near.join(other, "near").join(lined.select("rid", "hashes"), "rid").select("rid", "near_id", "hashes", "other")
     shared = written(pairs.mapInArrow(_aligned, "rid long, near_id long, shared array<boolean>"), "html-shared")
     forget(near)
-    out = lined.select("rid", "page_id", "lines").join(checked(shared, 80), "rid", "left")
+    size = shared.agg(F.sum(F.size("shared") + 64)).first()[0] or 0  # what a row takes grows with its lines
+    out = lined.select("rid", "page_id", "lines").join(F.broadcast(shared) if size <= BROADCAST_BYTES else shared, "rid", "left")
     gone = F.coalesce("shared", F.array().cast("array<boolean>"))
     kept = F.filter("lines", lambda _, k: ~F.coalesce(F.get(gone, k), F.lit(False)))
     n_shared = F.size(F.filter(gone, lambda x: x))
