@@ -88,4 +88,20 @@ def test_empty(spark):
 def test_pieces_tokenize_alike():
     rng = random.Random(1)
     text = "".join(rng.choice(["word", " ", "  ", "\n", "it's", " 12", "!?", "é"]) for _ in range(60_000))
-    assert packing.encode(text).tolist() == packing.encoder().encode_ordinary(text)
+    assert packing.encode(text, packing.ranks_in()).tolist() == packing.encoder(packing.ranks_in()).encode_ordinary(text)
+
+
+def test_equal_lengths_and_ids_are_ranked_once(spark):
+    """A third of the pieces have one length and one doc_id, and their ranks are split over parts."""
+    docs = spark.createDataFrame([(7, "the same words") for _ in range(300)] + [(k, "one " * (k % 5 + 1)) for k in range(600)] + [(None, "the same words")] * 20, "doc_id long, text string")
+    rows = packing.pack(docs, window=64).collect()
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.bin_id].append((r.place, r.n_tokens))
+    assert len(rows) == 920
+    for b in bins.values():
+        at = 0
+        for place, n in sorted(b):
+            assert place == at
+            at += n
+        assert at <= 64

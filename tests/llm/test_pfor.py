@@ -32,7 +32,7 @@ def test_documents(spark):
     assert len(rows) == 17
     for r in rows:
         if r.doc_id is not None:
-            want = packing.encode(texts[r.doc_id]).tolist() if texts[r.doc_id] else []
+            want = packing.encode(texts[r.doc_id], packing.ranks_in()).tolist() if texts[r.doc_id] else []
             assert pfor.unpack(bytes(r.payload), r.block_starts).tolist() == want and r.n_tokens == len(want)
     assert pfor.encoded(empty(spark)).collect() == []
 
@@ -41,3 +41,11 @@ def test_any_block_alone():
     ids = np.random.default_rng(0).integers(0, 50_000, 1000).astype(np.uint32)
     data, _, starts, _ = pfor.pack(ids, np.array([0, 1000]))
     assert pfor.unpack_block(data.tobytes(), int(starts[3])).tolist() == ids[384:512].tolist()
+
+
+def test_many_blocks_at_once_or_in_steps(monkeypatch):
+    ids = np.random.default_rng(1).integers(0, 50_000, 9_000).astype(np.uint32)
+    whole = pfor.pack(ids, np.array([0, 10, 10, 9_000]))
+    monkeypatch.setattr(pfor, "STEP", 7)
+    for a, b in zip(whole, pfor.pack(ids, np.array([0, 10, 10, 9_000])), strict=True):
+        assert (a == b).all()

@@ -10,7 +10,9 @@ it is exact over all documents, and its size depends on the window and not on th
 length, which ranks go to which run of bins; ranks are by doc_id, within a length.
 
 Defined cases: null, empty and tokenless texts have no piece and one row with null bin_id; a null doc_id is
-packed like any other, ranked first; repeated rows are packed each for itself.
+packed like any other, ranked first; repeated rows are packed each for itself; pieces of one length and one doc_id are
+alike, so which of them goes first is left open; very long texts are encoded whole, in pieces cut at white space; an
+empty table gives no rows. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -36,13 +38,19 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str = VOCABULARY):
+def ranks_in(vocabulary: str = VOCABULARY) -> bytes:
+    """The rank file, read on the driver; it is sent to the workers, which need no such file."""
+    with open(vocabulary, "rb") as lines:
+        return lines.read()
+
+
+@lru_cache(maxsize=2)
+def encoder(ranks: bytes):
     """A public byte-level tokenizer from its rank file; special tokens' strings are ordinary text."""
     import tiktoken
 
-    with open(vocabulary, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
 
 
 #: Longer texts are encoded in pieces cut before white space, as the pattern cuts there anyway.
@@ -62,19 +70,20 @@ def pieces(text: str) -> Iterator[str]:
     yield text[start:]
 
 
-def encode(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
+def encode(text: str, ranks: bytes) -> np.ndarray:
     """Token ids of the whole text."""
-    ranks = encoder(vocabulary)
-    parts = [ranks.encode_to_numpy(p, disallowed_special=()) for p in pieces(text)]
+    coder = encoder(ranks)
+    parts = [coder.encode_to_numpy(p, disallowed_special=()) for p in pieces(text)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id and n_tokens of each row."""
+    ranks = docs.sparkSession.sparkContext.broadcast(ranks_in(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [len(encode(t, vocabulary)) if t else 0 for t in col(b, "text").to_pylist()]
+            n = [len(encode(t, ranks.value)) if t else 0 for t in col(b, "text").to_pylist()]
             yield pa.record_batch([col(b, "doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
@@ -146,6 +155,26 @@ def plan(counts: dict[int, int], window: int) -> tuple[list[tuple[int, int, int,
     return runs, n_bins
 
 
+def ranked(rows: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """The rows of doc_id, piece and n_tokens in the order of n_tokens and doc_id, written, with part and local; and for each
+    part and length the rank of its first row less its local: a row's rank within its length is local and that.
+
+    A range-partitioned sort: a length that many pieces have is split over parts like any other run of rows.
+    """
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = rows.repartitionByRange(n, "n_tokens", "doc_id").sortWithinPartitions("n_tokens", "doc_id")
+    order = order.withColumn("part", F.spark_partition_id()).withColumn("local", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    order = written(order, "packing-order")
+    met: dict[int, int] = {}
+    shift = {}
+    # one row for each part and each length that starts in it: as many as there are parts and lengths together
+    runs = order.groupBy("part", "n_tokens").agg(F.min("local").alias("first"), F.count("*").alias("n")).orderBy("n_tokens", "part").collect()
+    for r in runs:
+        shift[r.part, r.n_tokens] = met.get(r.n_tokens, 0) - r.first
+        met[r.n_tokens] = met.get(r.n_tokens, 0) + r.n
+    return order, shift
+
+
 def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, piece, n_tokens, bin_id, place: where each piece of each document goes.
 
@@ -158,18 +187,20 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY) ->
     runs.sort()
     where = np.array(runs, np.int64).reshape(-1, 5)
     key = where[:, 0] << 40 | where[:, 1]
+    short = rows.filter(rest > 0).select("doc_id", F.floor(F.col("n_tokens") / window).alias("piece"), rest.alias("n_tokens"))
+    order, shift = ranked(short)
+    codes = np.array(sorted(p << 32 | k for p, k in shift), np.int64)
+    shifts = np.array([shift[int(c) >> 32, int(c) & 0xFFFFFFFF] for c in codes], np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, rank = np.asarray(col(b, "n_tokens")), np.asarray(col(b, "rank"))
+            size = np.asarray(col(b, "n_tokens"))
+            rank = np.asarray(col(b, "local")) + shifts[np.searchsorted(codes, np.asarray(col(b, "part")).astype(np.int64) << 32 | size)]
             run = where[np.searchsorted(key, size << 40 | rank, "right") - 1]
             out = pa.array(run[:, 3] + rank - run[:, 1]), pa.array(run[:, 4])
             yield pa.record_batch([col(b, "doc_id"), col(b, "piece"), col(b, "n_tokens"), *out], names=["doc_id", "piece", "n_tokens", "bin_id", "place"])
 
-    by_length = Window.partitionBy("n_tokens").orderBy("doc_id")
-    short = rows.filter(rest > 0).select("doc_id", F.floor(F.col("n_tokens") / window).alias("piece"), rest.alias("n_tokens"))
-    short = short.withColumn("rank", F.row_number().over(by_length).cast("long") - 1)
-    short = short.mapInArrow(place, "doc_id long, piece long, n_tokens long, bin_id long, place long")
+    short = order.mapInArrow(place, "doc_id long, piece long, n_tokens long, bin_id long, place long")
     full = F.floor(F.col("n_tokens") / window)
     long = rows.filter(full > 0).select("doc_id", full.alias("n"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
     firsts = [0] * SALTS

@@ -9,7 +9,8 @@ exception list. Layout of a block, little endian:
 block_starts holds the byte where each block begins, so any block is decoded without those before it.
 
 Defined cases: null, empty and tokenless texts have no blocks and an empty payload; rows are encoded alone, so
-repeated rows and null doc_ids are like any others.
+repeated rows and null doc_ids are like any others, and ties need no order; very long texts are encoded whole, STEP blocks
+at once; an empty table gives no rows. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemill.llm.packing import VOCABULARY, encode
+from tidemill.llm.packing import VOCABULARY, encode, ranks_in
 from tidemill.llm.tokens import col, slices
 
 BLOCK, SHARE = 128, 0.9
+#: Blocks packed at once, so that a very long text takes no more memory than others.
+STEP = 1 << 12
 _HEAD = np.dtype([("minimum", "<u4"), ("n", "<u2"), ("width", "u1"), ("exceptions", "u1")])
 _BIT = np.arange(32, dtype=np.uint32)
 
@@ -45,6 +48,15 @@ def pack(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     n = np.minimum(bounds[owner + 1] - start, BLOCK)
     if not len(owner):
         return np.zeros(0, np.uint8), np.zeros(len(sizes) + 1, np.int64), np.zeros(0, np.int32), first_block
+    parts = [_packed(ids, start[k : k + STEP], n[k : k + STEP]) for k in range(0, len(start), STEP)]
+    ends = np.cumsum(np.concatenate([size for _, size in parts]))
+    payload = np.concatenate([[0], ends])[first_block]
+    begin = np.concatenate([[0], ends[:-1]])
+    return np.concatenate([out for out, _ in parts]), payload, (begin - payload[owner]).astype(np.int32), first_block
+
+
+def _packed(ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the blocks of n ids from start on, and the size of each."""
     at = np.minimum(start[:, None] + np.arange(BLOCK), len(ids) - 1)
     live = np.arange(BLOCK) < n[:, None]
     grid = ids[at].astype(np.uint32)
@@ -75,8 +87,7 @@ def pack(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     out[base + rank] = place
     high = (grid[block, place] >> width[block]).astype("<u4")
     out[((base + exceptions[block] + 4 * rank)[:, None] + np.arange(4)).ravel()] = high.view(np.uint8)
-    payload = np.concatenate([[0], ends])[first_block]
-    return out, payload, (begin - payload[owner]).astype(np.int32), first_block
+    return out, size
 
 
 def unpack_block(payload: bytes, start: int) -> np.ndarray:
@@ -104,11 +115,12 @@ def unpack(payload: bytes, block_starts: list[int]) -> np.ndarray:
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, block_starts and payload of each row."""
     names = ["doc_id", "n_tokens", "block_starts", "payload"]
+    ranks = docs.sparkSession.sparkContext.broadcast(ranks_in(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                ids = [encode(t, vocabulary) if t else np.zeros(0, np.uint32) for t in col(part, "text").to_pylist()]
+                ids = [encode(t, ranks.value) if t else np.zeros(0, np.uint32) for t in col(part, "text").to_pylist()]
                 n = np.array([len(x) for x in ids], np.int64)
                 data, cut, starts, start_cut = pack(np.concatenate(ids), np.concatenate([[0], np.cumsum(n)]))
                 payload = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(data)])
