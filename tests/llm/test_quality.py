@@ -64,3 +64,41 @@ def test_nothing_to_learn_from(spark):
     rows = quality.classify(awkward(spark), none).collect()
     assert all(r.keep and r.quality_score == 0 for r in rows)
     assert quality.kept(awkward(spark), None).count() == 17
+
+
+def test_risk_is_as_low_as_by_brute_force(spark):
+    """The risk written out over all documents, lowered by many small steps from nothing."""
+    rows, known = corpus(), {k for k in range(300) if k % 5}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.learn(docs, spark.createDataFrame([(k, 1) for k in known], "doc_id long, label int"))
+    bins = model.bins(quality.measures(words_of(pa.array([t for _, t in rows]))))
+    good = np.array([k in known for k, _ in rows])
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+
+    def risk(theta):
+        z = theta[bins].sum(axis=1) + theta[-1]
+        p, u = sigmoid(z[good]), sigmoid(z[~good])
+        return model.prior * (1 - p).mean() + max(0, u.mean() - model.prior * p.mean()) + 0.5 * quality.SMALL_RIDGE * theta @ theta
+
+    def slope(theta):
+        s = sigmoid(theta[bins].sum(axis=1) + theta[-1])
+        d, n = s * (1 - s), good.sum()
+        over = s[~good].mean() > model.prior * s[good].mean()
+        by = np.where(good, -(1 + over) * model.prior * d / n, over * d / (len(good) - n))
+        return np.append(np.bincount(bins.ravel(), np.repeat(by, bins.shape[1]), len(theta) - 1), by.sum()) + quality.SMALL_RIDGE * theta
+
+    theta, best = np.append(model.weights, model.bias), np.zeros(len(model.weights) + 1)
+    for _ in range(20_000):
+        best = best - 0.5 * slope(best)
+    assert risk(theta) <= risk(best) + 0.01
+    decide = lambda t: t[bins].sum(axis=1) + t[-1] >= 0
+    assert np.mean(decide(theta) == decide(best)) > 0.97
+
+
+def test_every_unlabelled_document_counts(spark):
+    """Twice the unlabelled junk halves the prior: nothing is sampled."""
+    rows = corpus()
+    labels = spark.createDataFrame([(k, 1) for k in range(300) if k % 5], "doc_id long, label int")
+    more = rows + [(1000 + k, junk(k)) for k in range(0, 300)]
+    one, two = (quality.learn(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows, more))
+    assert 0.55 < one.prior < 0.9 and 0.3 < two.prior < 0.55
