@@ -34,9 +34,9 @@ from tidemill.llm.space import BROADCAST_BYTES, checked, forget, written
 from tidemill.llm.tokens import Words, col, mix64, slices, words_of
 
 A, B, C = 0.6, 0.35, 0.05
-CHUNK_BYTES = 1 << 24
+CHUNK_BYTES = 1 << 22
 #: Words of the corpus for each part that adds up counts.
-PART_WORDS = 2_500_000
+PART_WORDS = 1_000_000
 SCORES = "doc_id long, n_words long, loss_target double, loss_background double, score double"
 
 
