@@ -3,13 +3,15 @@
 Terms of a document are its distinct words, and the first 4 and 6 bytes of its longer words, hashed to 2**BITS
 slots. With x the set of terms, the logit is
     bias + sum_i w_i + sum_(i<j) <v_i, v_j>
-so pairs of terms count beyond the terms alone. It is fitted by Adagrad on logistic loss, and the bias then set
-where held-out documents part best. Slots take part by document frequency alone. Those that stay at
-nothing are left out of scoring.
+so pairs of terms count beyond the terms alone. It is fitted by Adagrad on logistic loss, for as many epochs as suit
+held-out documents best, and the bias then set where those part best. Slots take part by document frequency alone,
+however they are labelled: pairs may tell where their members don't. Those that stay at nothing are left out of scoring.
 
 Bounds: fitted on at most FIT_ROWS toxic and twice as many other labelled documents, those with the least hash
-of doc_id. Defined cases: a null or empty text has no terms and scores the bias; repeated rows get the same
-score; with no toxic or no other labelled documents there is nothing to learn from and nothing is toxic.
+of doc_id. Defined cases: a null or empty text has no terms and scores the bias; very long texts are read whole; a null
+doc_id has no label and is scored like any other; rows are scored alone, so repeated rows get the same score and ties need
+no order; with no toxic or no other labelled documents there is nothing to learn from and nothing is toxic; an empty table
+gives no rows. kept() passes on all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ FIT_ROWS = 10_000
 BITS, RANK, STEMS, EPOCHS = 20, 8, (4, 6), 25
 #: A slot takes part if so many sampled documents have it, however they are labelled: pairs may tell where their members don't.
 LEAST_DOCS = 4
+#: So many of the most frequent slots go through matrix products, the others one by one.
+DENSE = 2048
+PATIENCE = 2
 _STEM_SALT = 0xA24BAED4963EE407
 
 
@@ -64,61 +69,106 @@ class Machine:
         return out
 
 
-def fit(starts: np.ndarray, slot: np.ndarray, toxic: np.ndarray, among: np.ndarray, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.1, seed: int = 7) -> Machine:
-    """Document d has the slots from starts[d] to starts[d + 1]; among are the documents to learn from. Slots that LEAST_DOCS of them have take part."""
+@dataclass
+class Sample:
+    """Documents as runs of slot numbers: d has row[first[d]:first[d + 1]], those below DENSE being the most frequent slots.
+
+    seen has the slot of each number; all have been met in LEAST_DOCS documents at least.
+    """
+
+    first: np.ndarray
+    row: np.ndarray
+    seen: np.ndarray
+    toxic: np.ndarray
+
+    @classmethod
+    def of(cls, starts: np.ndarray, slot: np.ndarray, toxic: np.ndarray) -> Sample:
+        """Document d has the slots from starts[d] to starts[d + 1]. Slots take part however they are labelled."""
+        df = np.bincount(slot, minlength=1 << BITS)
+        seen = np.argsort(-df, kind="stable")[: int((df >= LEAST_DOCS).sum())]
+        number = np.full(1 << BITS, -1, np.int32)
+        number[seen] = np.arange(len(seen))
+        row, size = np.empty(int(df[seen].sum()), np.int32), np.zeros(len(toxic), np.int64)
+        at = 0
+        for d in range(0, len(toxic), 1024):  # the driver's memory is small: no second copy of all slots
+            e = min(d + 1024, len(toxic))
+            part = number[slot[starts[d] : starts[e]]]
+            size[d:e] = np.bincount(np.repeat(np.arange(e - d), np.diff(starts[d : e + 1]))[part >= 0], minlength=e - d)
+            part = part[part >= 0]
+            row[at : at + len(part)] = part
+            at += len(part)
+        return cls(np.concatenate([[0], np.cumsum(size)]), row, seen, toxic)
+
+    def batch(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of these documents: a matrix of which frequent slots each has, and place and number of each other slot."""
+        size = np.diff(self.first)[ids]
+        cut = np.concatenate([[0], np.cumsum(size)])
+        r = self.row[np.repeat(self.first[ids] - cut[:-1], size) + np.arange(cut[-1])]
+        local = np.repeat(np.arange(len(ids)), size)
+        often = r < min(DENSE, len(self.seen))
+        dense = np.zeros((len(ids), min(DENSE, len(self.seen))), np.float32)
+        dense[local[often], r[often]] = 1
+        return dense, local[~often], r[~often]
+
+
+def _outputs(w: np.ndarray, v: np.ndarray, dense: np.ndarray, local: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits without bias, and the sum of the vectors, of each document of a batch."""
+    k = dense.shape[1]
+    alone = lambda a, b: np.column_stack([a - 0.5 * (b**2).sum(axis=1), b])
+    sums = dense @ alone(w[:k], v[:k])
+    if len(r):
+        begin = np.flatnonzero(np.append(True, local[1:] != local[:-1]))
+        sums[local[begin]] += np.add.reduceat(alone(w[r], v[r]), begin, axis=0)
+    return sums[:, 0] + 0.5 * (sums[:, 1:] ** 2).sum(axis=1), sums[:, 1:]
+
+
+def fit(data: Sample, among: np.ndarray, held: np.ndarray, epochs: int, batch: int = 256, rate: float = 0.1, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float, int, np.ndarray]:
+    """w, v and bias learned from the documents among, at the epoch of the least loss over those held, that epoch and their
+    logits. It ends PATIENCE epochs after the least loss, or after so many epochs if none are held."""
     rng = np.random.default_rng(seed)
-    share, df, inside = toxic[among].mean(), np.zeros(1 << BITS, np.int64), np.zeros(len(toxic), bool)
-    inside[among] = True
-    runs = [(d, min(d + 1024, len(toxic))) for d in range(0, len(toxic), 1024)]  # the driver's memory is small: no second copy of all slots
-    for d, e in runs:
-        df += np.bincount(slot[starts[d] : starts[e]][np.repeat(inside[d:e], np.diff(starts[d : e + 1]))], minlength=1 << BITS)
-    good = df >= LEAST_DOCS
-    number, seen = (np.cumsum(good) - 1).astype(np.int32), np.flatnonzero(good)
-    n, m = len(among), len(seen)
-    row, size, at = np.empty(int(df[good].sum()), np.int32), np.zeros(len(toxic), np.int64), 0
-    for d, e in runs:
-        part = slot[starts[d] : starts[e]]
-        owner = np.repeat(np.arange(d, e), np.diff(starts[d : e + 1]))
-        use = good[part] & inside[owner]
-        size[d:e] = np.bincount(owner[use] - d, minlength=e - d)
-        row[at : at + use.sum()] = number[part[use]]
-        at += int(use.sum())
-    first = np.concatenate([[0], np.cumsum(size)])
-    w, v, bias = np.zeros(m), rng.normal(0, 0.01, (m, RANK)), float(np.log(share / (1 - share)))
-    gw, gv = np.full(m, 1e-4), np.full((m, RANK), 1e-4)
-    scale = 1 / np.sqrt(np.maximum(size, 1))  # steps are by document length, scores are not
+    m, k, toxic = len(data.seen), min(DENSE, len(data.seen)), data.toxic
+    share = toxic[among].mean()
+    w, v, bias = np.zeros(m, np.float32), rng.normal(0, 0.01, (m, RANK)).astype(np.float32), float(np.log(share / (1 - share)))
+    gw, gv = np.full(m, 1e-4, np.float32), np.full((m, RANK), 1e-4, np.float32)
+    scale = 1 / np.sqrt(np.maximum(np.diff(data.first), 1))  # steps are by document length, scores are not
+    least, best = np.inf, (w, v, bias, epochs, np.zeros(0))
+
+    def move(at: np.ndarray, back: np.ndarray) -> None:
+        g = back[:, 0] + 1e-5 * w[at]
+        gw[at] += g * g
+        h = back[:, 1:] - back[:, :1] * v[at] + 1e-4 * v[at]
+        gv[at] += h * h
+        w[at] -= rate * g / np.sqrt(gw[at])
+        v[at] -= 0.2 * rate * h / np.sqrt(gv[at])
+
     for epoch in range(epochs):
-        order = among[rng.permutation(n)]
-        step = rate / (1 + 0.5 * epoch)
-        for k in range(0, n, batch):
-            ids = order[k : k + batch]
-            cut = np.concatenate([[0], np.cumsum(size[ids])])
-            r = row[np.repeat(first[ids] - cut[:-1], size[ids]) + np.arange(cut[-1])]
+        order = among[rng.permutation(len(among))]
+        for j in range(0, len(order), batch):
+            ids = order[j : j + batch]
+            dense, local, r = data.batch(ids)
+            z, total = _outputs(w, v, dense, local, r)
+            d = (1 / (1 + np.exp(-np.clip(z + bias, -30, 30))) - toxic[ids]) / len(ids)
+            dr = (d * scale[ids]).astype(np.float32)
+            back = np.column_stack([dr, dr[:, None] * total])
             met = np.zeros(m, bool)
             met[r] = True
             uniq = np.flatnonzero(met)
-            inv = np.cumsum(met)[r] - 1
-            local = np.repeat(np.arange(len(ids)), size[ids])
-            vu = v[uniq]
-            alone = np.column_stack([w[uniq] - 0.5 * (vu**2).sum(axis=1), vu])
-            sums = np.add.reduceat(np.concatenate([alone[inv], np.zeros((1, RANK + 1))]), cut[:-1], axis=0)
-            sums[size[ids] == 0] = 0
-            total = sums[:, 1:]
-            z = bias + sums[:, 0] + 0.5 * (total**2).sum(axis=1)
-            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[ids]) / len(ids)
-            dr = d * scale[ids]
-            back = np.column_stack([np.bincount(inv, x[local], len(uniq)) for x in (dr, *(dr[:, None] * total).T)])
-            g = back[:, 0] + 1e-5 * w[uniq]
-            gw[uniq] += g * g
-            w[uniq] -= step * g / np.sqrt(gw[uniq])
-            h = back[:, 1:] - back[:, :1] * vu + 1e-4 * vu
-            gv[uniq] += h * h
-            v[uniq] -= 0.2 * step * h / np.sqrt(gv[uniq])
+            inv = (np.cumsum(met) - 1)[r]
+            other = np.column_stack([np.bincount(inv, x[local], len(uniq)) for x in back.T]).astype(np.float32)
+            live = np.flatnonzero(dense.any(axis=0))
+            move(live, (dense.T @ back)[live])
+            move(uniq, other)
             bias -= 0.05 * d.sum()
-    live = np.flatnonzero((np.abs(w) > 1e-3) | (np.abs(v).max(axis=1, initial=0) > 1e-2))
-    where = np.full(1 << BITS, len(live), np.int32)
-    where[seen[live]] = np.arange(len(live))
-    return Machine(float(bias), where, np.append(w[live], 0), np.concatenate([v[live], np.zeros((1, RANK))]))
+        if len(held):
+            z = np.concatenate([_outputs(w, v, *data.batch(held[j : j + batch]))[0] for j in range(0, len(held), batch)]) + bias
+            loss = float(np.logaddexp(0, np.where(toxic[held] > 0, -z, z)).mean())
+            if loss < least:
+                least, best = loss, (w.copy(), v.copy(), bias, epoch + 1, z)
+            elif epoch + 1 >= best[3] + PATIENCE:
+                break
+        else:
+            best = (w, v, bias, epoch + 1, np.zeros(0))
+    return best
 
 
 def _mixed(ids: pa.ChunkedArray) -> np.ndarray:
@@ -137,14 +187,18 @@ def cut(z: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def fit_cut(starts: np.ndarray, slot: np.ndarray, toxic: np.ndarray) -> Machine:
-    """fit(), its bias moved by the cut() of every fifth document under a machine of the others."""
-    held = np.arange(len(toxic)) % 5 == 4
-    machine = fit(starts, slot, toxic, np.arange(len(toxic)))
+    """A machine of all documents, fitted for as many epochs as suit every fifth document best under a machine of the others,
+    its bias moved by the cut() of those under that machine."""
+    data, every = Sample.of(starts, slot, toxic), np.arange(len(toxic))
+    held, epochs, move = every % 5 == 4, EPOCHS, 0.0
     if 0 < toxic[held].sum() < held.sum() and 0 < toxic[~held].sum() < (~held).sum():
-        part = fit(starts, slot, toxic, np.flatnonzero(~held))
-        z = [part.logits(np.zeros(starts[d + 1] - starts[d], np.int64), slot[starts[d] : starts[d + 1]], 1)[0] for d in np.flatnonzero(held)]
-        machine.bias -= cut(np.array(z), toxic[held])
-    return machine
+        _, _, _, epochs, z = fit(data, np.flatnonzero(~held), np.flatnonzero(held), EPOCHS)
+        move = cut(z, toxic[held])
+    w, v, bias, _, _ = fit(data, every, every[:0], epochs)
+    live = np.flatnonzero((np.abs(w) > 1e-3) | (np.abs(v).max(axis=1, initial=0) > 1e-2))
+    where = np.full(1 << BITS, len(live), np.int32)
+    where[data.seen[live]] = np.arange(len(live))
+    return Machine(float(bias) - move, where, np.append(w[live], 0), np.concatenate([v[live], np.zeros((1, RANK))]))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,9 +4,14 @@ The host (lower case) and the path with what follows it are cut into all runs of
 ends, hashed to 2**BITS slots apart for host and path; a URL's features are its distinct slots, each of weight one
 over the root of their number. The model is fitted by Adagrad on logistic loss, on a small table of labelled URLs.
 
+The labelled URLs are those of pages that show a labelled document: the path numbers the document that the page shows, so
+its label is that of what the URL leads to.
+
 Bounds: fitted on at most FIT_ROWS labelled URLs, those with the least hash. Defined cases: a null or empty URL, or one
-without a host, has the features of the parts it has; a URL without any scores the bias; repeated rows get the
-same score; with labels of one kind only there is nothing to learn from and every URL scores 0 and is kept.
+without a host, has the features of the parts it has; a URL without any scores the bias; very long URLs are read whole;
+rows are scored alone, so repeated rows get the same score and ties need no order; a null page_id is scored like any
+other; with labels of one kind only there is nothing to learn from and every URL scores 0 and is kept; an empty table gives
+no rows. Only page_id and url are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -112,6 +117,6 @@ def classify(urls: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) ->
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """url and label of the pages whose path names a labelled document by its number: the labelled URL table."""
+    """url and label of the pages that show a labelled document, which their path numbers: the labelled URL table."""
     doc_id = F.regexp_extract("url", r"^[^:]+://[^/]+/[a-z]+/(\d{1,18})", 1).try_cast("long")
     return pages.select("url", doc_id.alias("doc_id")).join(checked(labels), "doc_id").select("url", "label")
