@@ -625,3 +625,13 @@ def completion_json(spark: SparkSession, d: str) -> DataFrame:
 @query("select conv_id, turn, trim(string_split(text, '.')[1]) as summary from conversations")
 def completion_summary(spark: SparkSession, d: str) -> DataFrame:
     return completions.summarize(table(spark, d, "conversations"), "text", _echo).select("conv_id", "turn", "summary")
+
+
+def _add_cases() -> None:
+    from tidemill.plans import case_queries
+
+    QUERIES.update(case_queries.QUERIES)
+    ORACLES.update(case_queries.ORACLES)
+
+
+_add_cases()
