@@ -628,10 +628,11 @@ def completion_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _add_cases() -> None:
-    from tidemill.plans import case_queries
+    from tidemill.plans import case_queries, made_queries
 
-    QUERIES.update(case_queries.QUERIES)
-    ORACLES.update(case_queries.ORACLES)
+    for more in (case_queries, made_queries):
+        QUERIES.update(more.QUERIES)
+        ORACLES.update(more.ORACLES)
 
 
 _add_cases()

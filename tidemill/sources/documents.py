@@ -211,7 +211,7 @@ def read_pdf(data: bytes, mode: str = "auto") -> dict[str, Any]:
             except zlib.error:
                 continue
         found = []
-        for t in re.finditer(rb"\[((?:\((?:\\.|[^\\)])*\)|[^\]])*)\]\s*TJ|(\((?:\\.|[^\\)])*\))\s*(?:Tj|'|\")|(T\*|Td|TD|ET)\b", body, re.S):
+        for t in re.finditer(rb"\[((?:\((?:\\.|[^\\)])*\)|[^\]])*)\]\s*TJ|(\((?:\\.|[^\\)])*\))\s*(?:Tj|'|\")|(T\*|(?:Td|TD|ET)\b)", body, re.S):
             if t[3]:
                 found.append("\n")
             else:
