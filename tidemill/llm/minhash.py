@@ -9,7 +9,9 @@ verified as well: the groups are the connected components of all verified candid
 
 Documents of one shingle set are one from the start. Defined cases: null doc_ids are left out; null and wordless
 texts have no shingles, a null signature and a group of their own; a text shorter than a shingle has one, of all
-its words; rows that repeat a doc_id count as one document, of its least set hash.
+its words; rows that repeat a doc_id count as one document, of its least set hash; ties go to the least doc_id; very long
+texts are read whole, in slices of bytes; an empty table gives no rows. Only doc_id and text are read, so other columns may
+have any names.
 """
 
 from __future__ import annotations
