@@ -154,3 +154,45 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "LessThan(page_id,5)" in plan
     words = stored.select("page_id", normalize(F.col("url")).alias("url"))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<page_id:bigint,url:string>" in words
+
+
+def test_facts_of_all_texts_equal_the_keyed_rule(spark, monkeypatch):
+    facts = ["rust", "C++", "the book", "Ärger", "", None, "rust", "a1", "he"]
+    texts = [(1, "Trust the Book, not rust."), (2, "c++ and ärger"), (3, None), (4, ""), (5, "a1b a1"), (6, "the hero"), (6, "he")]
+    t, f = spark.createDataFrame(texts, "k long, text string"), spark.createDataFrame([(x,) for x in facts], "fact string")
+    got = {r.k: (r.found, r.total) for r in reports.fact_hits(t, f, "k").collect()}
+    keyed = t.select("k").distinct().crossJoin(f)
+    want = {r.k: (r.found, r.total) for r in reports.fact_hits(t, keyed, "k").collect()}
+    assert got == want and want[1] == (3, 9) and want[6] == (2, 18)
+    monkeypatch.setattr(reports, "BROADCAST_BYTES", 20)
+    assert {r.k: (r.found, r.total) for r in reports.fact_hits(t, f, "k").collect()} == want
+    assert reports.fact_hits(t, f.limit(0), "k").collect() == []
+    plan = reports.fact_hits(t, f, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_crawls_of_many_sites_equal_a_walk(spark):
+    rng = __import__("random").Random(3)
+    pages = [f"https://s{h}.com/p{n}" for h in range(4) for n in range(12)]
+    links = {p: rng.sample(pages, 3) + [f"{p}#x", f"{p.rsplit('/', 1)[0]}/lost{rng.randint(0, 3)}"] for p in pages}
+    corpus_ = spark.createDataFrame([(p, to) for p, to in links.items()], "url string, links array<string>")
+    seeds = spark.createDataFrame([("https://s0.com/p0",), ("https://s1.com/p5",), ("https://gone.com/x",)], "seed string")
+    want = set()
+    for seed in ("https://s0.com/p0", "https://s1.com/p5", "https://gone.com/x"):
+        seen, level, depth = {seed}, [seed], 0
+        while level:
+            want |= {(seed, p, depth, p in links) for p in level}
+            host = seed.split("/")[2]
+            level = sorted({x.partition("#")[0] for p in level for x in links.get(p, ()) if x.split("/")[2] == host} - seen)
+            seen |= set(level)
+            depth += 1
+    got = {tuple(r) for r in crawl.crawl_sites(corpus_, seeds, crawl.CrawlConfig(max_depth=-1, max_pages=None)).select("seed", "url", "depth", "ok").collect()}
+    assert got == want
+    near = crawl.crawl_sites(corpus_, seeds, crawl.CrawlConfig(max_depth=1, max_pages=None)).select("seed", "url", "depth", "ok").collect()
+    assert {tuple(r) for r in near} == {w for w in want if w[2] <= 1}
+
+
+def test_sitemap_order_survives(spark):
+    sitemap = spark.createDataFrame([(f"https://e.com/p{k:02}", 100 - k) for k in range(12)], "url string, seq long")
+    got = crawl.crawl(corpus(spark).limit(0), "https://e.com/", crawl.CrawlConfig(max_depth=0, max_pages=5), sitemap=sitemap.repartition(4))
+    assert {r.url for r in got.pages.collect()} == {"https://e.com/", *(f"https://e.com/p{k:02}" for k in (8, 9, 10, 11))}

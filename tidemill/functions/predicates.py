@@ -58,30 +58,34 @@ def is_blocked_ipv4(address: Column) -> Column:
     return F.when(a.isNotNull(), blocked)
 
 
+_BLOCKED = tuple(map(ipaddress.ip_network, ("fc00::/7", "fe80::/10", "ff00::/8", "64:ff9b::/96", "2001:db8::/32", *(
+    "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 "
+    "198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/3"
+).split())))
+
+
 def blocked_address(text: str) -> bool:
     """As is_blocked_ipv4, for addresses of both kinds; False for names."""
     try:
         ip = ipaddress.ip_address(text.strip("[]"))
     except ValueError:
         return False
-    if ip.version == 6:
-        bits = int(ip)
-        if bits >> 32 in (0, 0xFFFF):
-            return bits in (0, 1) or blocked_address(str(ipaddress.IPv4Address(bits & 0xFFFFFFFF)))
-        nets = ("fc00::/7", "fe80::/10", "ff00::/8", "64:ff9b::/96", "2001:db8::/32")
-        return any(ip in ipaddress.ip_network(n) for n in nets)
-    nets4 = (
-        "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 "
-        "198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/3"
-    )
-    return any(ip in ipaddress.ip_network(n) for n in nets4.split())
+    if ip.version == 6 and int(ip) >> 32 in (0, 0xFFFF):
+        return int(ip) in (0, 1) or blocked_address(str(ipaddress.IPv4Address(int(ip) & 0xFFFFFFFF)))
+    return any(ip in n for n in _BLOCKED if n.version == ip.version)
 
 
 @F.pandas_udf(T.BooleanType())
-def is_blocked_host(host: pd.Series) -> pd.Series:
+def _is_blocked_literal(host: pd.Series) -> pd.Series:
     return host.map(lambda h: h is not None and blocked_address(h))
 
 
+def is_blocked_host(host: Column) -> Column:
+    """Native for names and dotted addresses; only bracketed literals are looked at in Python."""
+    literal = host.startswith("[")
+    return F.when(literal, _is_blocked_literal(F.when(literal, host))).otherwise(F.coalesce(is_blocked_ipv4(host), F.lit(False)))
+
+
 def is_public_url(url: Column) -> Column:
     """A web URL whose host is not a private address. Names are not resolved."""
     name = F.regexp_extract(F.trim(url), r"^[A-Za-z]+://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)

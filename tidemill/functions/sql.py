@@ -24,6 +24,20 @@ def _page(html: str | None, url: str | None) -> Page | None:
         return None
 
 
+PARTS = StructType([StructField(c, StringType()) for c in ("markdown", "plain_text", "llm_text", "title")])
+
+
+@F.pandas_udf(PARTS)
+def page_parts(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+    """All texts of a page by one parse: what wants several of them takes them from here."""
+
+    def one(h: str | None, u: str | None) -> tuple[str | None, ...]:
+        p = _page(h, u)
+        return (None,) * 4 if p is None else (p.content.markdown, p.content.plain_text, compact.llm_text(p, u), p.metadata["title"])
+
+    return pd.DataFrame([one(h, u) for h, u in zip(html, url, strict=True)], columns=PARTS.fieldNames(), dtype=object)
+
+
 @F.pandas_udf(StringType())
 def page_markdown(html: pd.Series, url: pd.Series) -> pd.Series:
     got = (_page(h, u) for h, u in zip(html, url, strict=True))
@@ -64,6 +78,6 @@ class PageLinks:
 
 
 def register(spark: SparkSession) -> None:
-    for function in (page_markdown, page_text, llm_text, compact_markdown, site_record):
+    for function in (page_parts, page_markdown, page_text, llm_text, compact_markdown, site_record):
         spark.udf.register(function.__name__, function)
     spark.udtf.register("page_links", PageLinks)

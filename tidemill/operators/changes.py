@@ -39,8 +39,9 @@ def metadata_changes(old: Column, new: Column) -> Column:
 
 
 def links_without(links: Column, others: Column) -> Column:
-    """Links whose target the others lack; order and repeats stay."""
-    return F.filter(links, lambda x: ~F.coalesce(F.array_contains(F.transform(others, lambda o: o["href"]), x["href"]), F.lit(False)))
+    """Links whose target the others lack; order and repeats stay. The others' targets are listed once a page."""
+    targets = F.array(F.array_distinct(F.transform(others, lambda o: o["href"])))
+    return F.transform(targets, lambda known: F.filter(links, lambda x: ~F.coalesce(F.array_contains(known, x["href"]), F.lit(False))))[0]
 
 
 def compare(old: Column, new: Column) -> list[Column]:

@@ -122,7 +122,7 @@ def compact_text(df: DataFrame, markdown: str = "markdown") -> DataFrame:
         body, taken = process_body(text or "")
         return {"llm_text": body, "links": [{"text": t, "href": h} for t, h in taken]}
 
-    return map_rows(df, [markdown], one, schemas.fields(llm_text=T.StringType(), links=T.ArrayType(schemas.LINK)))
+    return map_rows(spread(df), [markdown], one, schemas.fields(llm_text=T.StringType(), links=T.ArrayType(schemas.LINK)))
 
 
 def metadata_only(pages: DataFrame) -> DataFrame:

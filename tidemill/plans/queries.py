@@ -109,8 +109,9 @@ _LANGUAGE = " ".join(f"when tld in ({', '.join(repr(t) for t in tlds.split())})
 )
 def accept_language(spark: SparkSession, d: str) -> DataFrame:
     tld = F.element_at(F.array(*map(F.lit, _TLDS)), (F.col("page_id") % len(_TLDS)).cast("int") + 1)
-    rows = table(spark, d, "pages").select("page_id", tld.alias("tld"))
-    return rows.withColumn("accept_language", urls.accept_language(F.concat(F.lit("https://site."), "tld", F.lit("/"))))
+    rows = table(spark, d, "pages").select("page_id", "url", tld.alias("tld"))
+    moved = F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.host(F.col("url")), F.lit("."), "tld", urls.path(F.col("url")))
+    return rows.select("page_id", "tld", urls.accept_language(moved).alias("accept_language"))
 
 
 @query(f"select page_id, {_SCHEME} || '://' || {_HOST} || {_PORT} || '/' as homepage from pages")
@@ -154,16 +155,22 @@ def public_ip_guard(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", predicates.is_blocked_ipv4(address).alias("blocked"))
 
 
+_ROOT = f"""(case when len(string_split({_BARE}, '.')) <= 2 then {_BARE}
+    when length(string_split({_BARE}, '.')[-2]) <= 3 then {_tail(_BARE, 3)} else {_tail(_BARE, 2)} end)"""
+
+
 @query(
-    f"""with s as (select {_BARE} as seed, {_SCHEME} as how from pages order by page_id limit 1)
-    select page_id, {_NORMAL} as url from pages, s where {_BARE} = seed and {_SCHEME} = how and not ends_with({_PATH}, '.xml')"""
+    f"""with p as (select page_id, url, {_ROOT} as root, {_SCHEME} || '://' || {_BARE} || {_PORT} as origin, {_PATH} as path from pages),
+    s as (select root, min_by(origin, page_id) as seed from p group by root)
+    select page_id, origin = seed as same, true as below, path like '/en/%' as prefixed, origin = seed and not regexp_matches(path, '^/../1[^/]*$') as filtered from p join s using (root)"""
 )
 def crawl_scope(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages")
-    seed = pages.groupBy().agg(F.min_by(urls.homepage(F.col("url")), "page_id").alias("seed"))
-    rows = pages.crossJoin(F.broadcast(seed))
-    keep = predicates.in_crawl_scope(F.col("url"), F.col("seed"))
-    return rows.filter(keep).select("page_id", urls.normalize(F.col("url")).alias("url"))
+    """Every page against the first page of its root domain as seed, in four kinds of scope."""
+    pages = table(spark, d, "pages").withColumn("root", urls.root_domain(F.col("url")))
+    seeds = pages.groupBy("root").agg(F.min_by(urls.homepage(F.col("url")), "page_id").alias("seed"))
+    scope = lambda **kind: predicates.in_crawl_scope(F.col("url"), F.col("seed"), **kind)
+    kinds = {"same": {}, "below": {"subdomains": True}, "prefixed": {"external": True, "prefix": "/en/"}, "filtered": {"include": ("/**",), "exclude": ("/??/1*",)}}
+    return pages.join(seeds, "root").select("page_id", *(scope(**kind).alias(name) for name, kind in kinds.items()))
 
 
 # pages
@@ -223,7 +230,9 @@ def llm_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    return extraction.links(extracted(spark, d), "page_id")
+    """Links of the whole body, those in its furniture too."""
+    options = extraction.Options(include=("body",))
+    return extraction.links(extraction.extract_pages(table(spark, d, "pages"), options, parts=("content",)), "page_id")
 
 
 @query()
@@ -292,7 +301,7 @@ def endpoints(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def token_report(spark: SparkSession, d: str) -> DataFrame:
-    return reports.token_report(extraction.extract_pages(table(spark, d, "pages"), parts=("llm_text",)), table(spark, d, "pages"), "page_id")
+    return reports.token_report(table(spark, d, "pages"), "page_id")
 
 
 @query(
@@ -306,49 +315,43 @@ def percentile_summary(spark: SparkSession, d: str) -> DataFrame:
 # crawl, sitemaps, maps
 
 
-_GRAPH = f"""n as (select {_NORMAL} as url, {_BARE} || {_SCHEME} as origin, min(page_id) as id from pages group by all),
-    o as (select url, origin, row_number() over (partition by origin order by id) as k from n),
-    e as (select a.url as src, b.url as dst from o a join o b on a.origin = b.origin and b.k between a.k + 1 and a.k + 3)"""
+_GRAPH = f"""n as (select {_NORMAL} as url, {_SCHEME} || '://' || {_BARE} || {_PORT} as origin, min(page_id) as id from pages group by all),
+    o as (select url, origin, row_number() over (partition by origin order by id) - 1 as k from n)"""
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of which each links to the next three of its origin."""
+    """Pages of which the n-th of an origin links to those of 2n + 1 and 2n + 2, to the one that links to it, and to the
+    first page of the next origin."""
     url = F.col("url")
     rows = table(spark, d, "pages").groupBy(urls.normalize(url).alias("url"), urls.origin_key(url).alias("origin")).agg(F.min("page_id").alias("id"))
-    w = Window.partitionBy("origin").orderBy("id").rowsBetween(1, 3)
-    return rows.withColumn("links", F.collect_list("url").over(w))
+    rows = saved(rows.withColumn("k", F.row_number().over(Window.partitionBy("origin").orderBy("id")) - 1), "pages-of-origin")
+    steps = rows.select("url", "origin", F.explode(F.array(2 * F.col("k") + 1, 2 * F.col("k") + 2, F.floor((F.col("k") - 1) / 2).cast("int"))).alias("to"))
+    links = steps.join(rows.select("origin", F.col("k").alias("to"), F.col("url").alias("href")), ["origin", "to"]).groupBy("url").agg(F.collect_list("href").alias("links"))
+    return rows.join(links, "url", "left").select("url", "origin", "id", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
 
 
-@query(
-    f"""with recursive {_GRAPH}, s as (select min_by(url, k) as url from (select *, count(*) over (partition by origin) as n,
-    min(url) over (partition by origin) as least from o) where n = (select max(c) from (select count(*) as c from o group by origin))
-    and least = (select min(m) from (select min(url) as m, count(*) as c from o group by origin) where c = (select max(c2) from (select count(*) as c2 from o group by origin)))),
-    walk(url, depth) as (select url, 0 from s union select e.dst, depth + 1 from walk join e on e.src = walk.url where depth < 3)
-    select url, min(depth)::int as depth, true as ok from walk group by url"""
-)
+@query(f"with {_GRAPH} select url, floor(log2(k + 1))::int as depth, true as ok from o")
 def crawl_bfs(spark: SparkSession, d: str) -> DataFrame:
+    """From the first page of every origin until no frontier has a page."""
     corpus = saved(_corpus(spark, d), "corpus")
-    of = corpus.groupBy("origin").agg(F.count("*").alias("n"), F.min("url").alias("least"), F.min_by("url", "id").alias("seed"))
-    seed = of.orderBy(F.desc("n"), "least").first().seed
-    got = crawl.crawl(corpus.select("url", "links"), seed, crawl.CrawlConfig(max_depth=3, max_pages=None))
-    return got.pages.select("url", "depth", "ok")
+    seeds = corpus.groupBy("origin").agg(F.min_by("url", "id").alias("seed"))
+    return crawl.crawl_sites(corpus.select("url", "links"), seeds, crawl.CrawlConfig(max_depth=-1, max_pages=None)).select("url", "depth", "ok")
+
+
+_SHORT = _NORMAL.removesuffix(")").rpartition(" || ")[0] + ")"
 
 
 @query(
-    f"""with n as (select {_NORMAL} as url, {_BARE} as host, {_SCHEME} as scheme, page_id from pages),
-    s as (select host from n group by host order by count(*) desc, host limit 1),
-    m as (select url, min(page_id) as page_id from n, s where n.host = s.host and scheme = 'https' and page_id % 2 = 0 group by url),
-    x as (select distinct url from n, s where n.host = s.host and scheme = 'https' and url not in (select url from m))
-    select url, 0 as source from m union all select url, 1 as source from x"""
+    f"""with n as (select {_NORMAL} as url, {_SHORT} as short from pages), m as (select distinct short as url from n),
+    x as (select distinct url from n where url not in (select url from m)) select url, 0 as source from m union all select url, 1 as source from x"""
 )
 def map_union(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's URL without its query as sitemaps of all origins, and all URLs as what was discovered."""
     pages = table(spark, d, "pages")
-    host = pages.groupBy(urls.without_www(urls.host(F.col("url"))).alias("host")).count().orderBy(F.desc("count"), "host").first().host
-    same = (urls.without_www(urls.host(F.col("url"))) == host) & (urls.scheme(F.col("url")) == "https")
-    even = pages.filter(same & (F.col("page_id") % 2 == 0)).groupBy(urls.normalize(F.col("url")).alias("url")).agg(F.min("page_id"))
+    short = saved(pages.select(urls.normalize(F.regexp_replace("url", r"[?#].*", "")).alias("url")).distinct(), "map-short")
     none = lambda kind: F.lit(None).cast(kind)
-    sitemap = even.select("url", none("string").alias("last_modified"), none("double").alias("priority"), none("string").alias("change_freq"))
-    return crawl.map_union(sitemap, pages.select("url", F.col("page_id").alias("seq")), f"https://{host}/").select("url", "source")
+    sitemap = short.select("url", none("string").alias("last_modified"), none("double").alias("priority"), none("string").alias("change_freq"))
+    return crawl.map_union(sitemap, pages.select("url", F.col("page_id").alias("seq"))).select("url", "source")
 
 
 @query(
@@ -509,20 +512,6 @@ def compact_documents(spark: SparkSession, d: str) -> DataFrame:
 # site records, threads, documents, completions
 
 
-@query(
-    """select page_id, case page_id % 6 when 0 then 'github_repo' when 1 then 'npm' when 2 then 'hackernews' when 3 then 'etsy_listing' when 4 then 'youtube_video' end as vertical
-    from pages"""
-)
-def vertical_kind(spark: SparkSession, d: str) -> DataFrame:
-    """The vertical of made-up addresses, one of six kinds for each page, and of none for the sixth."""
-    i = F.col("page_id").cast("string")
-    heads = ["https://github.com/o/r", "https://www.npmjs.com/package/p", "https://news.ycombinator.com/item?id=", "https://www.etsy.com/listing/1000000", "https://youtu.be/v"]
-    url = F.col("url")
-    for k, head in enumerate(heads):
-        url = F.when(F.col("page_id") % 6 == k, F.concat(F.lit(head), i)).otherwise(url)
-    return table(spark, d, "pages").select("page_id", records.kind(url).alias("vertical"))
-
-
 def _packages(spark: SparkSession, d: str) -> DataFrame:
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     version = F.concat("page_id", F.lit(".0.0"))
@@ -590,26 +579,6 @@ def csv_documents(spark: SparkSession, d: str) -> DataFrame:
     return documents.documents(files).select("c_custkey", "kind", "markdown")
 
 
-@query(
-    """select page_id, unnest([1, 2, 3, 4]) as place, unnest(['comments', 'top', 'reply', 'deep']) as body from pages"""
-)
-def thread_comments(spark: SparkSession, d: str) -> DataFrame:
-    """Comments of a made-up thread page for each page: two at the top, one of which has a reply with a reply."""
-
-    def one(name: str, inner: str = "") -> str:
-        body = f'<form class="usertext"><div class="usertext-body"><div class="md"><p>{name}</p></div></div></form>'
-        child = f'<div class="child"><div class="sitetable listing">{inner}</div></div>'
-        return f'<div class="thing comment" data-fullname="t1_{name}" data-author="a"><div class="entry">{body}</div>{child}</div>'
-
-    listing = one("comments") + one("top", one("reply", one("deep")))
-    html = f'<html><body><div class="commentarea"><div class="sitetable nestedlisting">{listing}</div></div></body></html>'
-    url = F.concat(F.lit("https://old.reddit.com/r/x/comments/"), "page_id")
-    pages = table(spark, d, "pages").select("page_id", url.alias("url"), F.lit(html).alias("html"))
-    rows = site.thread_comments(pages, "page_id")
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy("path"))
-    return rows.select("page_id", place.alias("place"), "body")
-
-
 def _echo(request: completions.Request) -> str:
     """A completer that reports the length of the text."""
     return f'<think>no</think>{{"length": {len(request.user)}}}' if request.json_mode else request.user.split(".")[0]
