@@ -26,14 +26,14 @@ def test_urls(spark):
     want = ["https://example.com/page", "https://example.com/docs", "https://example.com/Path", "https://e.com/", None]
     assert column(spark, given, normalize) == want
     assert column(spark, ["https://example.com:8443/foo", "https://www.e.com/"], origin_key) == ["https://example.com:8443", "https://e.com"]
-    assert column(spark, ["https://blog.example.co.uk/", "https://a.b.c.example.com/", "https://blog.abc.com/"], root_domain) == ["example.co.uk", "example.com", "blog.abc.com"]
+    assert column(spark, ["https://blog.example.co.uk/", "https://deep.er.still.harbour.org/", "https://blog.abc.com/"], root_domain) == ["example.co.uk", "harbour.org", "blog.abc.com"]
     assert column(spark, ["blog.example.co.uk", "a.b.example.com"], registrable_domain) == ["example.co.uk", "example.com"]
     assert column(spark, ["https://e.com/a/../b?x=1", "https://www.e.com/"], lambda c: file_name(c, "md")) == ["a/b_x_1.md", "e_com/index.md"]
 
 
 @pytest.mark.parametrize(
     ("glob", "path", "want"),
-    [("/api/*", "/api/users", True), ("/api/*", "/api/users/1", False), ("/api/**", "/api/users/1", True), ("/docs/*/intro", "/docs/v2/v3/intro", False), ("/blog*", "/blog/post", False), ("", "", True), ("", "/", False), ("/a?", "/ab", True)],
+    [("/api/*", "/api/users", True), ("/api/*", "/api/users/1", False), ("/api/**", "/api/users/1", True), ("/nets/*/mended", "/nets/old/new/mended", False), ("/blog*", "/blog/post", False), ("", "", True), ("", "/", False), ("/a?", "/ab", True)],
 )
 def test_globs(spark, glob, path, want):
     assert column(spark, [path], lambda c: glob_match(c, glob)) == [want]
@@ -163,7 +163,7 @@ def test_facts_of_all_texts_equal_the_keyed_rule(spark, monkeypatch):
     got = {r.k: (r.found, r.total) for r in reports.fact_hits(t, f, "k").collect()}
     keyed = t.select("k").distinct().crossJoin(f)
     want = {r.k: (r.found, r.total) for r in reports.fact_hits(t, keyed, "k").collect()}
-    assert got == want and want[1] == (3, 9) and want[6] == (2, 18)
+    assert got == want and want[1] == (3, 9) and want[6] == (1, 18)
     monkeypatch.setattr(reports, "BROADCAST_BYTES", 20)
     assert {r.k: (r.found, r.total) for r in reports.fact_hits(t, f, "k").collect()} == want
     assert reports.fact_hits(t, f.limit(0), "k").collect() == []

@@ -741,3 +741,13 @@ def client_choice(spark: SparkSession, d: str) -> DataFrame:
     pages = spark.read.parquet(f"{d}/pages.parquet").select(urls.host(F.col("url")).alias("host"), scans.pick(5).alias("client"))
     each = pages.groupBy("host").agg(F.count_distinct("client").alias("n"), F.min("client").alias("least"), F.max("client").alias("most"))
     return each.agg(F.count("*").alias("hosts"), F.bool_and(F.col("n") == 1).alias("sticky"), F.bool_and((F.col("least") >= 0) & (F.col("most") < 5)).alias("within"))
+
+
+@query(
+    """with a as (select l_orderkey, l_linenumber, (l_quantity * 300)::bigint as ms from lineitem),
+    s as (select *, sum(ms) over (partition by l_orderkey order by l_linenumber) as spent from a) select l_orderkey, l_linenumber, ms from s where ms <= 12000 and spent <= 24000"""
+)
+def fetch_budget(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-02: order lines as attempts of a fetch."""
+    log = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("url"), F.col("l_linenumber").alias("attempt"), (F.col("l_quantity") * 300).cast("long").alias("elapsed_ms"))
+    return scans.within_budget(log).select(F.col("url").alias("l_orderkey"), F.col("attempt").alias("l_linenumber"), F.col("elapsed_ms").alias("ms"))
