@@ -63,7 +63,7 @@ def routed(log: DataFrame) -> DataFrame:
 def within_budget(log: DataFrame, attempt_ms: int = 12_000, total_ms: int = 24_000) -> DataFrame:
     """Attempts of a fetch log (url, attempt, elapsed_ms) that ended in time: each within its own limit, and all up to it
     within that of the whole fetch."""
-    spent = F.sum("elapsed_ms").over(Window.partitionBy("url").orderBy("attempt").rowsBetween(Window.unboundedPreceding, 0))
+    spent = F.sum("elapsed_ms").over(Window.partitionBy("url").orderBy("attempt").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     rows = log.withColumn("_spent", spent)
     return rows.filter((F.col("elapsed_ms") <= attempt_ms) & (F.col("_spent") <= total_ms)).drop("_spent")
 
