@@ -3,8 +3,8 @@
 Terms of a document are its distinct words, and the first 4 and 6 bytes of its longer words, hashed to 2**BITS
 slots. With x the set of terms, the logit is
     bias + sum_i w_i + sum_(i<j) <v_i, v_j>
-so pairs of terms count beyond the terms alone. It is fitted by Adagrad on logistic loss, for as many epochs as suit
-held-out documents best, and the bias then set where those part best. Slots take part by document frequency alone,
+so pairs of terms count beyond the terms alone. It is fitted by Adagrad on logistic loss, until it does not suit held-out
+documents better, and the bias then set where those part best; a few epochs of all documents follow. Slots take part by document frequency alone,
 however they are labelled: pairs may tell where their members don't. Those that stay at nothing are left out of scoring.
 
 Bounds: fitted on at most FIT_ROWS toxic and twice as many other labelled documents, those with the least hash
@@ -33,7 +33,7 @@ BITS, RANK, STEMS, EPOCHS = 20, 8, (4, 6), 25
 LEAST_DOCS = 4
 #: So many of the most frequent slots go through matrix products, the others one by one.
 DENSE = 2048
-PATIENCE = 2
+PATIENCE, MORE = 2, 3
 _STEM_SALT = 0xA24BAED4963EE407
 
 
@@ -122,16 +122,35 @@ def _outputs(w: np.ndarray, v: np.ndarray, dense: np.ndarray, local: np.ndarray,
     return sums[:, 0] + 0.5 * (sums[:, 1:] ** 2).sum(axis=1), sums[:, 1:]
 
 
-def fit(data: Sample, among: np.ndarray, held: np.ndarray, epochs: int, batch: int = 256, rate: float = 0.1, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float, int, np.ndarray]:
-    """w, v and bias learned from the documents among, at the epoch of the least loss over those held, that epoch and their
-    logits. It ends PATIENCE epochs after the least loss, or after so many epochs if none are held."""
+@dataclass
+class State:
+    """Weights of the slots of a sample, with the sums of squared slopes that Adagrad keeps, after so many epochs."""
+
+    w: np.ndarray
+    v: np.ndarray
+    bias: float
+    gw: np.ndarray
+    gv: np.ndarray
+    epochs: int = 0
+
+    @classmethod
+    def new(cls, m: int, share: float, rng: np.random.Generator) -> State:
+        v = rng.normal(0, 0.01, (m, RANK)).astype(np.float32)
+        return cls(np.zeros(m, np.float32), v, float(np.log(share / (1 - share))), np.full(m, 1e-4, np.float32), np.full((m, RANK), 1e-4, np.float32))
+
+    def copy(self) -> State:
+        return State(self.w.copy(), self.v.copy(), self.bias, self.gw.copy(), self.gv.copy(), self.epochs)
+
+
+def fit(data: Sample, among: np.ndarray, held: np.ndarray, epochs: int, start: State | None = None, batch: int = 256, rate: float = 0.1, seed: int = 7) -> tuple[State, np.ndarray]:
+    """What is learned from the documents among, from start on, at the epoch of the least loss over those held, and their
+    logits then. It ends PATIENCE epochs after the least loss, or after so many epochs if none are held."""
     rng = np.random.default_rng(seed)
-    m, k, toxic = len(data.seen), min(DENSE, len(data.seen)), data.toxic
-    share = toxic[among].mean()
-    w, v, bias = np.zeros(m, np.float32), rng.normal(0, 0.01, (m, RANK)).astype(np.float32), float(np.log(share / (1 - share)))
-    gw, gv = np.full(m, 1e-4, np.float32), np.full((m, RANK), 1e-4, np.float32)
+    m, toxic = len(data.seen), data.toxic
+    at_ = State.new(m, toxic[among].mean(), rng) if start is None else start
+    w, v, gw, gv, bias = at_.w, at_.v, at_.gw, at_.gv, at_.bias
     scale = 1 / np.sqrt(np.maximum(np.diff(data.first), 1))  # steps are by document length, scores are not
-    least, best = np.inf, (w, v, bias, epochs, np.zeros(0))
+    least, best, logits = np.inf, at_, np.zeros(0)
 
     def move(at: np.ndarray, back: np.ndarray) -> None:
         g = back[:, 0] + 1e-5 * w[at]
@@ -159,16 +178,15 @@ def fit(data: Sample, among: np.ndarray, held: np.ndarray, epochs: int, batch: i
             move(live, (dense.T @ back)[live])
             move(uniq, other)
             bias -= 0.05 * d.sum()
+        at_.bias, at_.epochs = bias, at_.epochs + 1
         if len(held):
             z = np.concatenate([_outputs(w, v, *data.batch(held[j : j + batch]))[0] for j in range(0, len(held), batch)]) + bias
             loss = float(np.logaddexp(0, np.where(toxic[held] > 0, -z, z)).mean())
             if loss < least:
-                least, best = loss, (w.copy(), v.copy(), bias, epoch + 1, z)
-            elif epoch + 1 >= best[3] + PATIENCE:
+                least, best, logits = loss, at_.copy(), z
+            elif at_.epochs >= best.epochs + PATIENCE:
                 break
-        else:
-            best = (w, v, bias, epoch + 1, np.zeros(0))
-    return best
+    return best, logits
 
 
 def _mixed(ids: pa.ChunkedArray) -> np.ndarray:
@@ -187,18 +205,18 @@ def cut(z: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def fit_cut(starts: np.ndarray, slot: np.ndarray, toxic: np.ndarray) -> Machine:
-    """A machine of all documents, fitted for as many epochs as suit every fifth document best under a machine of the others,
-    its bias moved by the cut() of those under that machine."""
+    """A machine of four documents in five, fitted until it does not suit the others better, and then for MORE epochs of all
+    of them; its bias is moved by the cut() of the others before those."""
     data, every = Sample.of(starts, slot, toxic), np.arange(len(toxic))
-    held, epochs, move = every % 5 == 4, EPOCHS, 0.0
+    held, move, at = every % 5 == 4, 0.0, None
     if 0 < toxic[held].sum() < held.sum() and 0 < toxic[~held].sum() < (~held).sum():
-        _, _, _, epochs, z = fit(data, np.flatnonzero(~held), np.flatnonzero(held), EPOCHS)
+        at, z = fit(data, np.flatnonzero(~held), np.flatnonzero(held), EPOCHS)
         move = cut(z, toxic[held])
-    w, v, bias, _, _ = fit(data, every, every[:0], epochs)
-    live = np.flatnonzero((np.abs(w) > 1e-3) | (np.abs(v).max(axis=1, initial=0) > 1e-2))
+    at, _ = fit(data, every, every[:0], EPOCHS if at is None else MORE, at)
+    live = np.flatnonzero((np.abs(at.w) > 1e-3) | (np.abs(at.v).max(axis=1, initial=0) > 1e-2))
     where = np.full(1 << BITS, len(live), np.int32)
     where[data.seen[live]] = np.arange(len(live))
-    return Machine(float(bias) - move, where, np.append(w[live], 0), np.concatenate([v[live], np.zeros((1, RANK))]))
+    return Machine(float(at.bias) - move, where, np.append(at.w[live], 0), np.concatenate([at.v[live], np.zeros((1, RANK))]))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
