@@ -32,8 +32,11 @@ def decode_entities(text: str) -> str:
     return _ENTITY.sub(one, text) if "&" in text else text
 
 
+_INVISIBLE = re.compile(f"[{INVISIBLE}]")
+
+
 def strip_invisible(text: str) -> str:
-    return text.translate(dict.fromkeys(map(ord, INVISIBLE)))
+    return text if text.isascii() else _INVISIBLE.sub("", text)
 
 
 def _fenced(text: str, change: Callable[[str], str | None], lead: Callable[[str], str] = str.strip) -> list[str]:
@@ -77,6 +80,9 @@ _CHROME = re.compile(rf"\s*,\s*{_ANY}{STOP}|\s+\({_ANY}\)\.?|\s+{EXTERNAL}{STOP}
 
 
 def strip_link_chrome(text: str) -> str:
+    lower = text.lower()
+    if "opens" not in lower and "external" not in lower:
+        return "\n".join(lines(text))
     return "\n".join(_fenced(text, lambda line: _CHROME.sub("", line)))
 
 
@@ -171,22 +177,26 @@ _DESCRIBED = tuple(
 )
 
 
+_NAME_ENDS = tuple(f"{x})" for x in _PICTURES if x not in (".bmp", ".ico"))
+
+
 def is_description(line: str) -> bool:
     """Left-over image descriptions: by their first words, broken references, avatars, rows of one brand."""
     if not line:
         return False
-    lower, words = line.lower(), line.split()
-    if lower.startswith(_DESCRIBED) and len(words) >= 4:
+    lower = line.lower()
+    if lower.startswith(_DESCRIBED) and len(line.split()) >= 4:
         return True
-    heads = [f"{x})" for x in _PICTURES if x not in (".bmp", ".ico")]
-    if words and all(any(w.endswith(h) and size(w) <= len(h) + 5 for h in heads) for w in words):
+    if line.endswith(_NAME_ENDS) and all(any(w.endswith(h) and size(w) <= len(h) + 5 for h in _NAME_ENDS) for w in line.split()):
         return True
-    if lower.count("twitter image") >= 3 or sum(w.startswith("@") for w in words) >= 3 and lower.count("avatar") >= 2:
+    if lower.count("twitter image") >= 3 or lower.count("avatar") >= 2 and sum(w.startswith("@") for w in line.split()) >= 3:
         return True
     return is_brand_row(line)
 
 
 def is_brand_row(line: str) -> bool:
+    if line.count(",") < 3:
+        return False
     many = [x.split() for x in line.split(",") if len(x.split()) >= 2]
     if len(many) < 4:
         return False
@@ -212,16 +222,22 @@ CONTROLS = frozenset(
 
 
 def is_short_number(word: str) -> bool:
-    return re.fullmatch(r"[0-9]{1,4}", word) is not None
+    return len(word) < 5 and word.isascii() and word.isdigit()
 
 
 def is_control(line: str) -> bool:
     bare = line.strip()
     if "your browser does not support" in bare.lower():
         return True
-    words = bare.split()
-    named = [w for w in words if not is_short_number(w)]
-    return size(bare) <= 120 and bool(named) and all((w.lower() if w.isascii() else w) in CONTROLS for w in named)
+    if len(bare) > 120 or size(bare) > 120:
+        return False
+    named = False
+    for w in bare.split():
+        if not is_short_number(w):
+            named = True
+            if (w.lower() if w.isascii() else w) not in CONTROLS:
+                return False
+    return named
 
 
 def strip_controls(text: str) -> str:
@@ -377,16 +393,30 @@ def collapse_repeats(line: str) -> str:
         return line
     if len(words) > 100 and (cycle := long_cycle(words)) is not None:
         return cycle
+    places: dict[str, list[int]] = {}
+    for k, word in enumerate(words):
+        places.setdefault(word, []).append(k)
+    if len(places) == len(words):
+        return " ".join(words)
     out, k, most = [], 0, min(len(words) // 2, 20)
     while k < len(words):
-        for n in range(min(most, (len(words) - k) // 2), 1, -1):
-            if words[k] == words[k + n] and words[k : k + n] == words[k + n : k + 2 * n]:
-                phrase = words[k : k + n]
-                out += phrase
-                k += n
-                while words[k : k + n] == phrase:
-                    k += n
+        again = places[words[k]]
+        top = min(most, (len(words) - k) // 2)
+        for j in range(len(again) - 1, -1, -1):  # where the word comes again, the farthest first
+            n = again[j] - k
+            if n < 2:
+                again = again[:0]
+                break
+            if n <= top and words[k : k + n] == words[k + n : k + 2 * n]:
                 break
+        else:
+            again = again[:0]
+        if again:
+            phrase = words[k : k + n]
+            out += phrase
+            k += n
+            while words[k : k + n] == phrase:
+                k += n
         else:
             out.append(words[k])
             k += 1
@@ -598,11 +628,14 @@ def dedup_lines(text: str) -> str:
     return _blocks(text.split("\n\n"), change)
 
 
-def _folded(text: str) -> str:
-    return "".join(c.lower() if c.isascii() else c for c in text)
+def _folded(text: str) -> bytes:
+    """The text with its ASCII letters in lower case."""
+    return text.encode("utf-8", "surrogatepass").lower()
 
 
 def dedup_comma_list(line: str) -> str:
+    if ", " not in line:
+        return line
     items = [x.strip() for x in line.split(", ")]
     n = len(items)
     if n >= 6:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from tidemill.functions.text import size
 from tidemill.functions.tree import Node
 
@@ -121,6 +123,7 @@ def has_noise_class(value: str) -> bool:
     return any(map(is_noise_token, value.split())) or is_ad_class(value)
 
 
+@lru_cache(maxsize=1 << 16)
 def is_style_word(word: str) -> bool:
     core = word.rpartition(":")[2].lower()
     if "[" in core and "]" in core or core in _STYLE_WORDS or core.startswith(_STYLE_HEADS):
