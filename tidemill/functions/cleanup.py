@@ -462,9 +462,12 @@ def drop_heading_texts(text: str) -> str:
     return _ended([x for x in rows if not x.strip() or heading_of(x) or x.strip().lower() not in titles])
 
 
+_MARKED = re.compile(r"[^\w\s]|_")
+
+
 def fingerprint(text: str) -> str:
     """Lower-case letters and digits, single spaces."""
-    return " ".join("".join(c for c in text.lower() if c.isalnum() or c.isspace()).split())
+    return " ".join(_MARKED.sub("", text.lower()).split())
 
 
 def drop_repeated_sections(text: str) -> str:
