@@ -28,6 +28,7 @@ def test_groups_equal_brute_force(spark):
     got = {r.doc_id: r for r in minhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = roots(range(len(rows)), edges)
     assert {k: r.group_id for k, r in got.items()} == want
+    assert all((r.n_links > 0) == (r.group_size > 1) for r in got.values())
     assert all(r.group_size == sum(g == r.group_id for g in want.values()) for r in got.values())
     close = [(a, b) for a, b in pairs if jaccard(own[a], own[b]) >= minhash.SIMILAR]
     assert np.mean([want[a] == want[b] for a, b in close]) >= 0.9

@@ -3,8 +3,8 @@
 The signature of a document is, for each of HASHES universal hash functions (a * x + b, high half), the least
 value over its shingles, runs of WIDTH words. Signatures are cut into bands of ROWS values; documents that share
 a band are candidates. In each band bucket every member is paired with the least one, so a bucket of n gives
-n - 1 pairs and not n * n; pairs are deduplicated and verified, the least-numbered of each document first, by the
-Jaccard similarity of the whole shingle sets (at least SIMILAR). Every pair within a bucket that the groups found so far still keep apart is then
+n - 1 pairs and not n * n; pairs are deduplicated and verified, the least-numbered of each document first, by the sizes and
+then by the Jaccard similarity of the whole shingle sets (at least SIMILAR). Every pair within a bucket that the groups found so far still keep apart is then
 verified as well: the groups are the connected components of all verified candidate pairs.
 
 Documents of one shingle set are one from the start. Defined cases: null doc_ids are left out; null and wordless
@@ -98,7 +98,8 @@ def one_each(prints: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, signature, group_id (the least doc_id of its group) and group_size for each doc_id."""
+    """doc_id, n_shingles, signature, group_id (the least doc_id of its group), group_size and n_links, the verified links of
+    the document, for each doc_id."""
     prints = one_each(written(signed(docs), "minhash-prints"))
     some = prints.filter("n_shingles > 0")
     same = some.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1")
@@ -107,32 +108,39 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     sets = some.join(checked(copies.select(F.col("a").alias("doc_id"))), "doc_id", "left_anti")
     bands = F.array(*(F.xxhash64(F.lit(k), F.slice("signature", k * ROWS + 1, ROWS)) for k in range(HASHES // ROWS)))
     whole = Window.partitionBy("bucket")
-    shared = sets.select("doc_id", "set_hash", F.explode(bands).alias("bucket"))
-    shared = shared.withColumns({"least": F.min(F.struct("doc_id", "set_hash")).over(whole), "most": F.max("doc_id").over(whole)})
-    shared = shared.filter("least.doc_id < most").select("bucket", "doc_id", "set_hash", F.col("least.doc_id").alias("b"), F.col("least.set_hash").alias("hash_b"))
+    shared = sets.select("doc_id", "set_hash", "n_shingles", F.explode(bands).alias("bucket"))
+    least = F.struct("doc_id", "set_hash", "n_shingles")
+    shared = shared.withColumns({"least": F.min(least).over(whole), "most": F.max("doc_id").over(whole)})
+    of_least = [F.col(f"least.{c}").alias(n) for c, n in (("doc_id", "b"), ("set_hash", "hash_b"), ("n_shingles", "n_b"))]
+    shared = shared.filter("least.doc_id < most").select("bucket", "doc_id", "set_hash", "n_shingles", *of_least)
     shared = written(shared, "minhash-buckets")
+    # sets of such a similarity can't differ more in size: an exact test that needs no set
+    fits = lambda m, n: (F.col(m) >= SIMILAR * F.col(n)) & (F.col(n) >= SIMILAR * F.col(m))
     def texts_of(wanted: DataFrame) -> DataFrame:
         return docs.select("doc_id", F.lower("text").alias("text")).join(checked(wanted), "doc_id", "left_semi")
 
     # one link of each document is tried first: of a group of near copies it leaves little to try
-    tried = shared.filter("doc_id <> b").groupBy(F.col("doc_id").alias("a"), F.col("set_hash").alias("hash_a"))
+    tried = shared.filter((F.col("doc_id") != F.col("b")) & fits("n_shingles", "n_b")).groupBy(F.col("doc_id").alias("a"), F.col("set_hash").alias("hash_a"))
     tried = written(tried.agg(F.min(F.struct("b", "hash_b")).alias("m")).select("a", "hash_a", "m.*"), "minhash-tried")
     true = similar(tried, texts_of, _sets, SIMILAR, "minhash-star")
 
     # pairs that share a bucket and that no chain of verified pairs joins yet
     found = components(true)
     rooted = shared.join(checked(found.select(F.col("node").alias("doc_id"), "root")), "doc_id", "left")
-    rooted = rooted.select("bucket", "doc_id", "set_hash", F.coalesce("root", "doc_id").alias("root"))
+    rooted = rooted.select("bucket", "doc_id", "set_hash", "n_shingles", F.coalesce("root", "doc_id").alias("root"))
     rooted = rooted.withColumns({"low": F.min("root").over(whole), "high": F.max("root").over(whole)}).filter("low < high")
-    x, y = (rooted.select("bucket", F.struct("doc_id", "set_hash").alias(k), F.col("root").alias(f"root_{k}")) for k in "xy")
-    apart = x.join(y, "bucket").filter("root_x < root_y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    x, y = (rooted.select("bucket", F.struct("doc_id", "set_hash").alias(k), F.col("root").alias(f"root_{k}"), F.col("n_shingles").alias(f"n_{k}")) for k in "xy")
+    apart = x.join(y, "bucket").filter((F.col("root_x") < F.col("root_y")) & fits("n_x", "n_y")).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     apart = apart.select(*(F.col(c).alias(n) for c, n in (("x.doc_id", "a"), ("x.set_hash", "hash_a"), ("y.doc_id", "b"), ("y.set_hash", "hash_b"))))
     apart = written(apart.join(tried, ["a", "b"], "left_anti").select("a", "hash_a", "b", "hash_b"), "minhash-apart")
     rest = similar(apart, texts_of, _sets, SIMILAR, "minhash-rest")
-    roots = components(true.unionByName(rest).unionByName(copies))
+    edges = written(true.unionByName(rest).unionByName(copies).distinct(), "minhash-links")
+    roots = components(edges)
     for done in (copies, shared, tried, true, apart, rest, found):
         forget(done)
     sizes = roots.groupBy(F.col("root").alias("group_id")).agg((F.count("*") + 1).alias("size"))
     out = prints.join(checked(roots.withColumnRenamed("node", "doc_id")), "doc_id", "left").withColumn("group_id", F.coalesce("root", "doc_id"))
     out = out.join(checked(sizes), "group_id", "left").withColumn("group_size", F.coalesce("size", F.lit(1)))
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("signature")).alias("signature"), "group_id", "group_size")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("links"))
+    out = out.join(checked(ends), "doc_id", "left").withColumn("n_links", F.coalesce("links", F.lit(0).cast("long")))
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("signature")).alias("signature"), "group_id", "group_size", "n_links")
