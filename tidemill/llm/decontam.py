@@ -42,7 +42,7 @@ from tidemill.llm.tokens import col, slices, words_of
 PHRASE, NEAR = 8, 5
 SHARE, SPAN = 0.8, 1.5
 PORTION = 8_000_000
-SEGMENT_BYTES = 1 << 24
+SEGMENT_BYTES = 1 << 23
 INDEX = "doc_ids array<long>, contents array<long>, starts array<int>, terms array<long>, sizes array<int>, steps binary"
 FOUND = "doc_id long, content long, item_id long, kind string, matched int, place int"
 
@@ -68,15 +68,18 @@ class Items:
         return cls(vocabulary, [ids[k] for k in use], [np.searchsorted(vocabulary, p) for p in parts])
 
 
-def packed(x: np.ndarray) -> bytes:
+def packed(x: np.ndarray, step: int = 1 << 18) -> bytes:
     """Non-negative numbers, seven bits to a byte, the lowest first; the last byte of each has its high bit set."""
-    x = x.astype(np.uint64)
+    return b"".join(_packed(x[k : k + step].astype(np.uint64)) for k in range(0, len(x), step))
+
+
+def _packed(x: np.ndarray) -> bytes:
     size = np.ones(len(x), np.int64)
     for k in range(1, 10):
         size += x >= np.uint64(1 << 7 * k)
     ends = np.cumsum(size)
-    out = np.zeros(int(ends[-1]) if len(x) else 0, np.uint8)
-    for k in range(int(size.max(initial=0))):
+    out = np.zeros(int(ends[-1]), np.uint8)
+    for k in range(int(size.max())):
         some = size > k
         out[(ends - size)[some] + k] = (x[some] >> np.uint64(7 * k)).astype(np.uint8) & 127
     out[ends - 1] |= 128
@@ -94,13 +97,21 @@ def unpacked(data: np.ndarray) -> np.ndarray:
 
 def segment(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Starts of the documents, the different terms, the number of places of each, and the lists as packed steps."""
-    w = words_of(column)
-    order = np.argsort(w.hashes, kind="stable")
-    term = w.hashes[order]
+    hashes, counts = [], []
+    for part in slices(pa.record_batch([column], names=["text"])):
+        w = words_of(part.column(0))
+        hashes.append(w.hashes)
+        counts.append(w.counts)
+    hashes, counts = np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([*counts, np.zeros(0, np.int64)])
+    order = np.argsort(hashes, kind="stable")
+    term = hashes[order]
+    del hashes
     first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+    kinds, sizes = term[first], np.diff(np.append(first, len(term))).astype(np.int32)
+    del term
     steps = np.diff(order, prepend=0)
     steps[first] = order[first]
-    return w.offsets[:-1].astype(np.int32), term[first], np.diff(np.append(first, len(term))).astype(np.int32), packed(steps)
+    return (np.cumsum(counts) - counts).astype(np.int32), kinds, sizes, packed(steps)
 
 
 def lists_of(vocabulary: np.ndarray, terms: np.ndarray, sizes: np.ndarray, steps: np.ndarray) -> dict[int, np.ndarray]:

@@ -7,6 +7,7 @@ Null and empty texts have no words. Nothing here loops over documents or words i
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -15,6 +16,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+def _give_back() -> None:
+    """Have blocks of over a megabyte returned to the system when they are freed: Spark keeps Python workers, and else each
+    of them keeps the most that it ever took."""
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library: it does as it does
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_give_back()
+
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 1 << 20
