@@ -19,8 +19,15 @@ ENDPOINT = schemas.fields(value=_s, kind=_s, first_party=T.BooleanType(), source
 REPORT = schemas.fields(endpoints=T.ArrayType(ENDPOINT), hosts=T.ArrayType(_s), bundles_scanned=T.IntegerType(), truncated=T.BooleanType())
 
 
-def brand_pages(pages: DataFrame, key: str) -> DataFrame:
-    """One parse of each page: key, identity, and mentions of colours and fonts as an array."""
+def brand_pages(pages: DataFrame, key: str, stylesheets: DataFrame | None = None) -> DataFrame:
+    """One parse of each page: key, identity, and mentions of colours and fonts as an array.
+
+    stylesheets (page url, src, text) of fetched sheets join by page and are read after the page's own, in the order of src.
+    """
+    if stylesheets is not None:
+        sheets = stylesheets.groupBy("url").agg(F.sort_array(F.collect_list(F.struct("src", "text"))).alias("sheets"))
+        css = F.concat(F.lit("<style>"), F.array_join("sheets.text", "\n"), F.lit("</style>"))
+        pages = pages.join(sheets, "url", "left").withColumn("html", F.concat("html", F.coalesce(css, F.lit(""))))
     schema = schemas.fields(identity=IDENTITY, mentions=T.ArrayType(MENTION))
 
     def one(html: str | None, url: str | None) -> dict[str, Any]:

@@ -358,6 +358,15 @@ def brand_styles(spark: SparkSession, d: str) -> DataFrame:
     return site.brand_colors(site.brand_pages(_pages(spark, d, _STYLES), "row"), "row")
 
 
+@query(_B + "select row, unnest(['#0B0C0D', '#' || upper(right('000' || to_hex(row), 4)) || 'A1']) as hex, unnest(['Background', 'Text']) as usage, unnest([2, 1])::bigint as n, unnest([1, 2])::int as rank from b where row % 2 = 0 union all select row, '#0B0C0D', 'Background', 1, 1 from b where row % 2 = 1")
+def brand_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """BR-01: fetched stylesheets beside the page's own."""
+    pages = _pages(spark, d, "<style>p{background:#0b0c0d}</style>")
+    code = F.concat(F.lit("h1{color:#"), F.lpad(F.hex("row"), 4, "0"), F.lit("a1}"))
+    sheets = rows(spark, d).filter("row % 2 = 0").select(filled("https://site@k@.example.com/a/b").alias("url"), F.explode(F.array(F.struct(F.lit("/a.css").alias("src"), code.alias("text")), F.struct(F.lit("/b.css").alias("src"), F.lit("div{background-color:#0B0C0D}").alias("text")))).alias("s"))
+    return site.brand_colors(site.brand_pages(pages, "row", sheets.select("url", "s.*")), "row")
+
+
 _FONTS = (
     "<head><link rel='stylesheet' href='https://fonts.googleapis.com/css2?family=Open+Serif:wght@400&family=Grotesk'><style>p{font-family:\"Harbour Sans\", Arial, sans-serif}"
     "h1{font:bold 12px/1.5 'Harbour Sans', serif} h2{font-family:inherit}</style></head><body><p style='font-family:Crane Mono'>x</p></body>"
