@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +101,7 @@ def test_empty(spark):
 
 
 def test_null_and_repeated_ids_are_compared(spark):
-    rows = [(None, prose(1)), (None, prose(1)), (None, edited(prose(1), 3, 0.05)), (7, prose(2)), (7, prose(3)), (7, prose(3)), (8, prose(3)), (9, prose(4))]
+    rows = [(None, prose(1)), (None, prose(1)), (None, prose(1) + " tail"), (7, prose(2)), (7, prose(3)), (7, prose(3)), (8, prose(3)), (9, prose(4))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = simhash.deduplicated(docs).collect()
     assert sum(r.doc_id is None for r in kept) == 1
@@ -108,6 +109,16 @@ def test_null_and_repeated_ids_are_compared(spark):
     assert len(simhash.groups(docs).collect()) == 6
 
 
+def test_near_copies_of_a_third_of_all_rows(spark):
+    """Their own words are in so many documents that they would count as common, and the words that differ as rare."""
+    text, rng = prose(5, 200).split(), random.Random(1)
+    copies = [" ".join(f"own{k}x{j}" if rng.random() < 0.03 else word for j, word in enumerate(text)) for k in range(60)]
+    rows = list(enumerate(copies + [prose(2000 + k, 150) for k in range(120)]))
+    found = simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert np.mean([r.group_id == 0 for r in found if r.doc_id < 60]) >= 0.95
+    assert all(r.keep for r in found if r.doc_id >= 60)
+
+
 def test_components(spark):
     from tidemill.llm.groups import components
 

@@ -37,6 +37,8 @@ from tidemill.llm.tokens import Words, col, mix64, slices, words_of
 BLOCKS, BITS, RADIUS = 9, 30, 2
 FAR, SIMILAR = BLOCKS * BITS * 3 // 10, 0.5
 SLOTS = 1 << 16
+#: Least weight of a word, as a share of the greatest: the words of a group that holds a third of all rows still count.
+COMMON = 0.4
 _WORDS = -(-BLOCKS * BITS // 64)
 
 
@@ -52,7 +54,7 @@ def _slot(word: np.ndarray) -> np.ndarray:
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """For each slot the logarithm of the share of documents that have no word of it, over all documents."""
+    """For each slot the logarithm of how few documents have a word of it, over all documents, and COMMON of the greatest at least."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS + 1, np.int64)
@@ -67,7 +69,8 @@ def rarity(docs: DataFrame) -> np.ndarray:
     n = np.zeros(SLOTS + 1)
     for slot, k in rows.collect():  # at most SLOTS + 1
         n[slot] = k
-    return np.log((n[SLOTS] + 1) / np.maximum(n[:SLOTS], 1)).clip(1e-3).astype(np.float32)
+    rare = np.log((n[SLOTS] + 1) / np.maximum(n[:SLOTS], 1)).clip(1e-3)
+    return np.maximum(rare, COMMON * rare.max()).astype(np.float32)
 
 
 def fingerprints(w: Words, rare: np.ndarray, step: int = 1 << 14) -> np.ndarray:
