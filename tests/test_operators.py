@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import sql
 from tidemill.functions.urls import file_name, normalize, origin_key, registrable_domain, root_domain
-from tidemill.functions.predicates import glob_match, is_public_url, matches_fact
+from tidemill.functions.predicates import approx_tokens, glob_match, is_public_url, matches_fact
 from tidemill.operators import changes, completions, crawl, extraction, records, reports
 from tidemill.sources import sinks
 
@@ -45,6 +45,10 @@ def test_public_addresses_and_facts(spark):
     assert [r.m for r in df.select(matches_fact(F.col("t"), F.col("f")).alias("m")).collect()] == [True, False, True]
 
 
+def test_tokens_of_odd_texts(spark):
+    assert column(spark, ["", None, "abcde", "文" * 5, "文文文" + "x" * 7], approx_tokens) == [0, None, 2, 3, 3]
+
+
 def pages(spark):
     rows = [(1, "https://e.com/a", PAGE.format("one")), (2, "https://e.com/b", ""), (3, "not a url", PAGE.format("x")), (4, None, None), (5, None, PAGE.format("five"))]
     return spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"markdown": F.lit("clash"), "error": F.lit("clash")})

@@ -219,10 +219,10 @@ _CJK = r"[\x{4E00}-\x{9FFF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{AC00}-\x{D7AF}\x
 
 
 def approx_tokens(text: Column) -> Column:
-    """A fourth of the characters, or half where over 30 % are Chinese, Japanese or Korean; rounded up."""
+    """A fourth of the characters, or half where over 30 % are Chinese, Japanese or Korean; rounded up. None of an empty text."""
     n = F.length(text)
     cjk = n - F.length(F.regexp_replace(text, _CJK, ""))
-    return F.when(cjk / n > 0.3, F.ceil(n / 2)).otherwise(F.ceil(n / 4)).cast("long")
+    return F.when(F.try_divide(cjk, n) > 0.3, F.ceil(n / 2)).otherwise(F.ceil(n / 4)).cast("long")
 
 
 def fingerprint(text: Column) -> Column:
