@@ -200,3 +200,19 @@ def test_sitemap_order_survives(spark):
     sitemap = spark.createDataFrame([(f"https://e.com/p{k:02}", 100 - k) for k in range(12)], "url string, seq long")
     got = crawl.crawl(corpus(spark).limit(0), "https://e.com/", crawl.CrawlConfig(max_depth=0, max_pages=5), sitemap=sitemap.repartition(4))
     assert {r.url for r in got.pages.collect()} == {"https://e.com/", *(f"https://e.com/p{k:02}" for k in (8, 9, 10, 11))}
+
+
+def test_rows_are_spread_before_anything_is_made_of_them(spark):
+    """A single file of customers is made into pages, replies and documents over all cores, and made texts are not moved."""
+    from tidemill.plans import case_queries, made_queries
+
+    some = {**case_queries.QUERIES, **made_queries.QUERIES}
+    for name in ("vx_reddit", "md_plain", "xlsx_documents", "completion_failures"):
+        plan = some[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        moved = plan.split("REPARTITION_BY_NUM")
+        assert len(moved) == 2 and "MapInArrow" not in moved[1] and "Paragraph" not in moved[1] and "<html>" not in moved[1], name
+
+
+def test_records_of_a_small_input_are_read_over_all_cores(spark, tmp_path):
+    spark.createDataFrame([(f"https://pypi.org/project/p{k}/", "{}") for k in range(8)], "url string, payload string").coalesce(1).write.parquet(f"{tmp_path}/r")
+    assert records.records(spark.read.parquet(f"{tmp_path}/r")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

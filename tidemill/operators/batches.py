@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -19,11 +20,14 @@ SMALL_TASK = 32 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small input, which comes as fewer files than there are cores, over all cores; larger ones and streams stay as they are."""
+    """A small input, which comes as fewer files than there are cores, over all cores; larger ones and streams stay as they are,
+    and so does one that was spread before, such as rows of which large texts were made since."""
     if df.isStreaming:
         return df
-    n = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution().optimizedPlan()
+    if re.search(r"^\W*Repartition(?:ByExpression)? ", plan.toString(), re.M):
+        return df
+    size = int(plan.stats().sizeInBytes())
     return df.repartition(n) if size <= n * SMALL_TASK and len(df.inputFiles()) < n else df
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tidemill import schemas
 from tidemill.functions import verticals
 from tidemill.functions.structured import loads
-from tidemill.operators.batches import flat_map_rows, map_rows
+from tidemill.operators.batches import flat_map_rows, map_rows, spread
 
 _s, _n = T.StringType(), T.LongType()
 RECORD = schemas.fields(record=_s, error=_s)
@@ -42,6 +42,7 @@ def records(replies: DataFrame, name: str | None = None) -> DataFrame:
     With a name all rows are read as that vertical, and other URLs are error rows; without one each row is read as
     its URL's, and rows of no vertical go.
     """
+    replies = spread(replies)
     rows = replies if "second" in replies.columns else replies.withColumn("second", F.lit(None).cast("string"))
     rows = rows.withColumn("vertical", F.lit(name) if name else kind(F.col("url")))
     rows = rows.filter("vertical is not null").withColumns({"_kind": F.col("vertical"), "_url": F.col("url")})

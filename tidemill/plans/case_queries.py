@@ -8,20 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import extraction, records
+from tidemill.operators.batches import spread
 from tidemill.plans.cases import CASES, Case
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """row, k and w of every customer."""
+    """row, k and w of every customer, over all cores before anything is made of them."""
     key = F.col("c_custkey")
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(key.alias("row"), (key + 10000).cast("string").alias("k"), F.lower("c_mktsegment").alias("w"))
+    made = spark.read.parquet(f"{sf_dir}/customer.parquet").select(key.alias("row"), (key + 10000).cast("string").alias("k"), F.lower("c_mktsegment").alias("w"))
+    return spread(made)
 
 
 def _pages(made: DataFrame, case: Case, names: list[str]) -> DataFrame:
     options = extraction.Options(**{k: v for k, v in case.options.items() if k in ("include", "exclude", "only_main")})
-    parts = ("metadata", "content", "domain_type", "structured_data", "llm_text")
+    asked = {"title": "metadata", "words": "metadata", "metadata": "metadata", "domain_type": "domain_type", "structured_data": "structured_data", "llm_text": "llm_text"}
+    parts = tuple(dict.fromkeys(["content", *(asked.get(name, "content") for name in names)]))  # a count of words is that of the content
     got = extraction.extract_pages(made, options, parts)
     of = {
         "markdown": F.col("content.markdown"), "plain_text": F.col("content.plain_text"), "llm_text": F.col("llm_text"), "domain_type": F.col("domain_type"),
