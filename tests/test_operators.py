@@ -216,3 +216,10 @@ def test_rows_are_spread_before_anything_is_made_of_them(spark):
 def test_records_of_a_small_input_are_read_over_all_cores(spark, tmp_path):
     spark.createDataFrame([(f"https://pypi.org/project/p{k}/", "{}") for k in range(8)], "url string, payload string").coalesce(1).write.parquet(f"{tmp_path}/r")
     assert records.records(spark.read.parquet(f"{tmp_path}/r")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_filters_on_what_is_made_of_rows_run_after_they_are_spread(spark):
+    from tidemill.plans import made_queries
+
+    plan = made_queries.QUERIES["body_ceiling"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan[plan.index("Repartition") :] and "octet_length" in plan
