@@ -223,3 +223,18 @@ def test_filters_on_what_is_made_of_rows_run_after_they_are_spread(spark):
 
     plan = made_queries.QUERIES["body_ceiling"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" not in plan[plan.index("Repartition") :] and "octet_length" in plan
+
+
+MADE_OVER_ALL_CORES = (
+    "vx_crates_io",
+)
+
+
+@pytest.mark.parametrize("name", MADE_OVER_ALL_CORES)
+def test_one_file_of_customers_is_read_by_all_cores(spark, name):
+    from tidemill.plans import case_queries
+
+    made = case_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan.split("REPARTITION_BY_NUM")[0] and "MapInArrow" not in plan.split("REPARTITION_BY_NUM")[1]
