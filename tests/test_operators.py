@@ -228,6 +228,7 @@ def test_filters_on_what_is_made_of_rows_run_after_they_are_spread(spark):
 MADE_OVER_ALL_CORES = (
     "vx_crates_io",
     "vx_ecommerce_product",
+    "vx_arxiv",
 )
 
 
