@@ -229,6 +229,7 @@ MADE_OVER_ALL_CORES = (
     "vx_crates_io",
     "vx_ecommerce_product",
     "vx_arxiv",
+    "vx_chronopost",
 )
 
 
