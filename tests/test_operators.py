@@ -230,6 +230,7 @@ MADE_OVER_ALL_CORES = (
     "vx_ecommerce_product",
     "vx_arxiv",
     "vx_chronopost",
+    "vx_shopify_product",
 )
 
 
