@@ -231,6 +231,7 @@ MADE_OVER_ALL_CORES = (
     "vx_arxiv",
     "vx_chronopost",
     "vx_shopify_product",
+    "vx_huggingface_model",
 )
 
 
