@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 
 from tidemill.functions import cleanup, compact, markdown, sites, structured, verticals
-from tidemill.functions.page import ExtractError, Options, extract
+from tidemill.functions.page import Converter, ExtractError, Extractor, Options, extract, most_words
 from tidemill.functions.select import select
 from tidemill.functions.tree import parse
 from tidemill.operators import changes, completions
@@ -381,3 +382,28 @@ def test_lists_of_a_parsed_tree_give_what_a_walk_gives():
             assert list(node.walk()) == below and list(node.elements()) == [n for n in below if n.tag is not None]
             assert list(node.elements("li", "p", "b")) == [n for n in below if n.tag in ("li", "p", "b")]
             assert node.text == "".join(n.data for n in below if n.tag is None)
+
+
+def test_no_part_of_a_page_has_more_words_than_its_bound():
+    import random
+
+    rnd = random.Random(3)
+    marks = "<p> </p> <b> </b> <i> <em> </i> <a> </a> <a href='x y'> <div> </div> <ul> <ol> <li> </ul> <h1> </h1> <h3> <pre> </pre> <code> </code> <br> <hr> <nav> <script> </script>"
+    marks = [*re.findall("<[^>]*>", marks), "<img src='a b' alt='c d e'>", "<img srcset='u 1x, v w 2x' alt=z>", "**", "[l](u)", "```", "\n", "&nbsp;", "# "]
+    for _ in range(1500):
+        html = "".join(rnd.choice(marks) if rnd.random() < 0.6 else " ".join(rnd.choices(["one", " two", "three\n"], k=3)) for _ in range(rnd.randrange(1, 40)))
+        doc = parse(html)
+        whole = Extractor(doc, None).content(Options(include=("body",)))
+        assert whole.words <= most_words(doc, 1 << 30), html
+
+
+def test_a_second_conversion_is_left_out_where_it_cannot_be_chosen(monkeypatch):
+    """A page whose main part has more than half of its words is converted once."""
+    calls = []
+    convert = Converter.convert
+    monkeypatch.setattr(Converter, "convert", lambda self, root: calls.append(root.tag) or convert(self, root))
+    text = "word " * 40
+    assert extract(f"<body><article><p>{text}</p></article><p>{text}</p></body>").metadata["word_count"] == 40
+    assert calls == ["article"]
+    assert extract(f"<body><article><p>{text}</p></article><p>{text}{text}</p></body>").metadata["word_count"] == 120
+    assert calls == ["article", "article", "body"]

@@ -232,6 +232,7 @@ MADE_OVER_ALL_CORES = (
     "vx_chronopost",
     "vx_shopify_product",
     "vx_huggingface_model",
+    "ext_only_main",
 )
 
 
@@ -240,6 +241,6 @@ def test_one_file_of_customers_is_read_by_all_cores(spark, name):
     from tidemill.plans import case_queries
 
     made = case_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    above, below = made._jdf.queryExecution().optimizedPlan().toString().split("Repartition ")
+    assert "MapInArrow" in above and "MapInArrow" not in below
     assert made.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    plan = made._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" in plan.split("REPARTITION_BY_NUM")[0] and "MapInArrow" not in plan.split("REPARTITION_BY_NUM")[1]
