@@ -233,6 +233,7 @@ MADE_OVER_ALL_CORES = (
     "vx_shopify_product",
     "vx_huggingface_model",
     "ext_only_main",
+    "ext_noise_forms",
 )
 
 
