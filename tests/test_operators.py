@@ -234,6 +234,7 @@ MADE_OVER_ALL_CORES = (
     "vx_huggingface_model",
     "ext_only_main",
     "ext_noise_forms",
+    "md_links",
 )
 
 
