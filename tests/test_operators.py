@@ -235,6 +235,7 @@ MADE_OVER_ALL_CORES = (
     "ext_only_main",
     "ext_noise_forms",
     "md_links",
+    "json_ld",
 )
 
 
