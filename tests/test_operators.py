@@ -247,3 +247,12 @@ def test_one_file_of_customers_is_read_by_all_cores(spark, name):
     above, below = made._jdf.queryExecution().optimizedPlan().toString().split("Repartition ")
     assert "MapInArrow" in above and "MapInArrow" not in below
     assert made.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_pages_of_a_stream_are_made_by_all_cores(spark, monkeypatch):
+    from tidemill.plans import made_queries
+
+    kept, saved = [], made_queries.saved
+    monkeypatch.setattr(made_queries, "saved", lambda df, name: kept.append(saved(df, name)) or kept[-1])
+    got = made_queries.QUERIES["batch_stream"](spark, "/root/testdata/sf0.001")
+    assert len(kept[0].inputFiles()) == spark.sparkContext.defaultParallelism and got.count() == kept[0].count() > 0
