@@ -407,3 +407,10 @@ def test_a_second_conversion_is_left_out_where_it_cannot_be_chosen(monkeypatch):
     assert calls == ["article"]
     assert extract(f"<body><article><p>{text}</p></article><p>{text}{text}</p></body>").metadata["word_count"] == 120
     assert calls == ["article", "article", "body"]
+
+
+def test_a_payload_is_decoded_once(monkeypatch):
+    texts = []
+    monkeypatch.setattr(verticals, "loads", lambda text: texts.append(text) or structured.loads(text))
+    got = read("crates_io", "https://crates.io/crates/c", {"crate": {"id": "c"}, "versions": [{"license": "MIT"}]})
+    assert got["latest_license"] == "MIT" and len(texts) == 1
