@@ -414,3 +414,13 @@ def test_a_payload_is_decoded_once(monkeypatch):
     monkeypatch.setattr(verticals, "loads", lambda text: texts.append(text) or structured.loads(text))
     got = read("crates_io", "https://crates.io/crates/c", {"crate": {"id": "c"}, "versions": [{"license": "MIT"}]})
     assert got["latest_license"] == "MIT" and len(texts) == 1
+
+
+def test_properties_of_a_product_page_are_found_in_one_walk(monkeypatch):
+    names = []
+    monkeypatch.setattr(verticals, "meta", lambda html, name, *more: names.append(name))
+    tags = {"product:price:amount": "5", "og:price:currency": "EUR", "product:availability": "in stock", "product:brand": "B"}
+    html = "".join(f'<meta property="{k}" content="{v}"><meta property="{k}" content="later">' for k, v in tags.items())
+    got = read("ecommerce_product", "https://s.example.com/p", html)
+    offer = got["offers"][0]
+    assert (offer["price"], offer["currency"], offer["availability"], got["brand"]) == ("5", "EUR", "in stock", "B") and not names
