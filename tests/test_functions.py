@@ -424,3 +424,23 @@ def test_properties_of_a_product_page_are_found_in_one_walk(monkeypatch):
     got = read("ecommerce_product", "https://s.example.com/p", html)
     offer = got["offers"][0]
     assert (offer["price"], offer["currency"], offer["availability"], got["brand"]) == ("5", "EUR", "in stock", "B") and not names
+
+
+def test_elements_of_a_feed_are_named_once(monkeypatch):
+    from xml.etree import ElementTree
+
+    seen = []
+
+    class Counted(ElementTree.Element):
+        @property
+        def tag(self):
+            name = ElementTree.Element.tag.__get__(self)
+            seen.append(name)
+            return name
+
+    parser = lambda: ElementTree.XMLParser(target=ElementTree.TreeBuilder(element_factory=Counted))
+    monkeypatch.setattr(verticals.ElementTree, "fromstring", lambda text: ElementTree.XML(text, parser()))
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>1</id><title>T</title><title>U</title><summary/><published>2020</published><link href="u" rel="alternate"/></entry></feed>'
+    got = read("arxiv", "https://arxiv.org/abs/2401.00001", atom)
+    assert (got["title"], got["abstract"], got["published"], got["abs_url"]) == ("T", "", "2020", "u")
+    assert sum(name.endswith("}link") for name in seen) == 1
