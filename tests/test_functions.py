@@ -444,3 +444,12 @@ def test_elements_of_a_feed_are_named_once(monkeypatch):
     got = read("arxiv", "https://arxiv.org/abs/2401.00001", atom)
     assert (got["title"], got["abstract"], got["published"], got["abs_url"]) == ("T", "", "2020", "u")
     assert sum(name.endswith("}link") for name in seen) == 1
+
+
+def test_parcel_texts_without_references_are_not_searched_for_each(monkeypatch):
+    texts, decoded = [], verticals.decoded
+    monkeypatch.setattr(verticals, "decoded", lambda text, *more: texts.append(text) or decoded(text, *more))
+    tab = "<TR></TR><tr><td>1/2<BR/>10:00</td><td>Paris<br>L&#39;&amp;lt; <b>x</b>’s</td><td>d</td></tr>"
+    got = read("chronopost", "https://www.chronopost.fr/t?listeNumerosLT=X1", {"top": "", "tab": tab})
+    assert got["events"] == [{"date": "1/2", "time": "10:00", "office": "Paris", "event": "L'&lt; x 's", "details": "d"}]
+    assert texts == ["L&#39;&amp;lt;  x ’s"]
