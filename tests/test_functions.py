@@ -453,3 +453,18 @@ def test_parcel_texts_without_references_are_not_searched_for_each(monkeypatch):
     got = read("chronopost", "https://www.chronopost.fr/t?listeNumerosLT=X1", {"top": "", "tab": tab})
     assert got["events"] == [{"date": "1/2", "time": "10:00", "office": "Paris", "event": "L'&lt; x 's", "details": "d"}]
     assert texts == ["L&#39;&amp;lt;  x ’s"]
+
+
+def test_a_list_of_fields_is_split_once():
+    class Spec(str):
+        splits = 0
+
+        def split(self, *by):
+            Spec.splits += 1
+            return super().split(*by)
+
+    spec = Spec("a b=c.d e[] f=g[].h i[]=j[].k.l")
+    value = {"a": 1, "c": {"d": 2}, "e": [3, None], "g": [{"h": 4}, {}, None], "j": [{"k": {"l": 5}}, {"k": 6}]}
+    got = [verticals.pick(x, spec) for x in (value, None, value, [])]
+    assert got[0] == got[2] == {"a": 1, "b": 2, "e": [3, None], "f": [4], "i": [5]}
+    assert got[1] == got[3] == {"a": None, "b": None, "e": [], "f": [], "i": []} and Spec.splits == 1
