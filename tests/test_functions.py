@@ -468,3 +468,11 @@ def test_a_list_of_fields_is_split_once():
     got = [verticals.pick(x, spec) for x in (value, None, value, [])]
     assert got[0] == got[2] == {"a": 1, "b": 2, "e": [3, None], "f": [4], "i": [5]}
     assert got[1] == got[3] == {"a": None, "b": None, "e": [], "f": [], "i": []} and Spec.splits == 1
+
+
+def test_fields_of_one_key_are_read_without_a_walk(monkeypatch):
+    walks, at = [], verticals.at
+    monkeypatch.setattr(verticals, "at", lambda value, *keys: walks.append(keys) or at(value, *keys))
+    got = verticals.pick({"id": "m", "modelId": None, "cardData": {"license": "mit"}}, "id model_id=modelId sha license=cardData.license tags[]")
+    assert got == {"id": "m", "model_id": None, "sha": None, "license": "mit", "tags": []}
+    assert walks == [("cardData", "license"), ("tags",)]
