@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.space import written
-from tidemill.llm.tokens import col
+from tidemill.llm.tokens import col, slices
 
 WINDOW = 4096
 #: Full windows are numbered within so many hash classes of doc_id, so that no one task ranks them all.
@@ -83,8 +83,9 @@ def lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [len(encode(t, ranks.value)) if t else 0 for t in col(b, "text").to_pylist()]
-            yield pa.record_batch([col(b, "doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
+            for part in slices(b):  # as strings, one slice at a time
+                n = [len(encode(t, ranks.value)) if t else 0 for t in col(part, "text").to_pylist()]
+                yield pa.record_batch([col(part, "doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
 

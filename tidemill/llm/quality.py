@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.space import checked, forget, written
+from tidemill.llm.space import checked, forget, only, written
 from tidemill.llm.tokens import Words, col, distinct, hash_spans, slices, words_of
 
 BINS, RIDGE, SMALL_RIDGE = 12, 1e-3, 1e-4
@@ -346,12 +346,10 @@ def train(table: DataFrame, labels: DataFrame) -> Model | None:
 def kept(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs that the model keeps, by one pass that moves nothing between executors."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                yield part.filter(pa.array(model.score(measures(words_of(col(part, "text")))) >= 0)) if model else part
+    def mask(texts: pa.Array) -> np.ndarray:
+        return model.score(measures(words_of(texts))) >= 0
 
-    return docs.mapInArrow(run, docs.schema)
+    return only(docs, F.col("text"), mask) if model else docs
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:

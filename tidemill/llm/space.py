@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm.tokens import slices
+
 #: A side of a join is broadcast if its rows, counted, come to no more than this.
 BROADCAST_BYTES = 32 << 20
 
@@ -45,6 +50,18 @@ def checked(side: DataFrame, row_bytes: int = 24, limit: int = BROADCAST_BYTES)
     return F.broadcast(side) if side.count() * row_bytes <= limit else side
 
 
+def only(docs: DataFrame, text: Column, mask: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of docs for whose text the mask is true. The texts alone go to Python, and a flag for each comes back."""
+
+    @F.arrow_udf("boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = [mask(part.column(0)) for part in slices(pa.record_batch([batch], names=["text"]))]
+            yield pa.array(np.concatenate([*parts, np.zeros(0, bool)]))
+
+    return docs.filter(run(text))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,11 +26,20 @@ def _give_back() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 
+def trim() -> None:
+    """Return freed memory that lies between smaller blocks in use, too."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 _give_back()
 
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_CHUNK = 1 << 20
+#: Bytes hashed at once; a worker keeps 16 bytes of powers for each. Longer words are hashed alone.
+_CHUNK = 1 << 17
 #: Bytes of text handled at once; larger single texts are handled alone.
 SLICE_BYTES = 1 << 21
 SLICE_ROWS = 1 << 15
@@ -177,6 +186,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         j = min(max(i + 1, int(np.searchsorted(bounds, bounds[i] + limit, "right")) - 1), i + SLICE_ROWS)
         yield batch.slice(i, j - i)
         i = j
+    trim()
 
 
 def col(batch: pa.RecordBatch, name: str) -> pa.Array:

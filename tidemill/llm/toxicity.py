@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.space import checked
+from tidemill.llm.space import checked, only
 from tidemill.llm.tokens import Words, col, distinct, hash_spans, mix64, slices, words_of
 
 FIT_ROWS = 10_000
@@ -249,15 +249,11 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
 def kept(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """The rows of docs that are not toxic, by one pass that moves nothing between executors."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                w = words_of(col(part, "text"))
-                mask = machine.logits(*terms(w), w.n_docs) <= 0 if machine else np.ones(w.n_docs, bool)
-                yield pa.RecordBatch.from_struct_array(col(part, "row")).filter(pa.array(mask))
+    def mask(texts: pa.Array) -> np.ndarray:
+        w = words_of(texts)
+        return machine.logits(*terms(w), w.n_docs) <= 0
 
-    rows = docs.select(F.struct("*").alias("row"), F.lower("text").alias("text"))
-    return rows.mapInArrow(run, docs.schema)
+    return only(docs, F.lower("text"), mask) if machine else docs
 
 
 def _only(batches: Iterator[pa.RecordBatch], machine: Machine | None) -> Iterator[pa.RecordBatch]:
